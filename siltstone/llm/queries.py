@@ -7,33 +7,56 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from . import chat, digest_index, jaccard, knn, packing, pieces, quality, suffix_array, toxicity, warc
+from .common import shared_dir, table
+
+BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .packing import pack_documents
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN)
+
 
-    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op3_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .pieces import round_trip_digests
+    return pieces.round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_BPE))
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_conversations(table(spark, sf_dir, "conversations"))
+
+
+def op5_knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.top_k(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
 
-    return round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest_index.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_dir(spark)
+    warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    return warc.read_archives(spark, folder).drop("uri", "payload")
 
 
 def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .suffix_array import remove_repeats
+    return suffix_array.remove_repeats(table(spark, sf_dir, "documents")).drop("kept", "kept_text")
 
-    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
-def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .jaccard import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents"))
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack, op3_piece_codec, op8_suffix_array, op10_jaccard_join)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_pack, op2_toxicity, op3_piece_codec, op4_chat_format, op5_knn_join, op6_exact_dedup, op7_warc, op8_suffix_array, op9_quality, op10_jaccard_join)
+}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op4_chat_format": chat.SQL, "op5_knn_join": knn.SQL, "op6_exact_dedup": digest_index.SQL, "op7_warc": warc.SQL, "op10_jaccard_join": jaccard.SQL}
