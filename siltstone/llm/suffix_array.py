@@ -35,15 +35,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PrefixHash, mix64, real_id, safe_id, slices, string_bytes, text_or_empty
+from .common import PrefixHash, materialise, mix64, real_id, safe_id, slices, string_bytes, text_or_empty
 
 WINDOW = 200
 #: Starts that share one k-gram at most; a power of two, at most 128.
 REACH = 128
 #: Bytes of text that one block sorts, about.
 BLOCK_BYTES = 1 << 21
-#: Different contexts of a bucket that one block may hold.
-BUCKET_LIMIT = 512
+#: Different contexts of a bucket that one block may hold: about what fills a block.
+BUCKET_LIMIT = BLOCK_BYTES // 256
 PERIOD = 16
 
 
@@ -306,8 +306,8 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW, block_bytes: int = BL
         raise ValueError(f"window must exceed {REACH}")
     runs = docs.where(F.octet_length("text") >= window).mapInArrow(_anchors(window), "key long, ctx long, uid long, span long")
     shared = runs.groupBy("key").count().where("count > 1").select("key")
-    rows = runs.join(shared, "key")
-    contexts = rows.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("uid", "span")).alias("one"))
+    rows = materialise(runs.join(shared, "key"))
+    contexts = materialise(rows.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("uid", "span")).alias("one")))
     whole = rows.join(contexts.where("copies > 1").select("key", "ctx"), ["key", "ctx"])
     whole = whole.select("uid", F.shiftright("span", 14).alias("start"), ((F.shiftright("span", 7).bitwiseAND(F.lit(127))) + 1).alias("n"))
     mixed = contexts.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
@@ -330,7 +330,7 @@ def _cut(window: int):
     def run(batches):
         for batch in batches:
             data, at = string_bytes(batch.column("text"))
-            out = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
+            out = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text")}
             for i, spans in enumerate(batch.column("spans").to_pylist()):
                 text = data[at[i] : at[i + 1]]
                 edge = np.zeros(len(text) + 1, np.int32)
@@ -345,14 +345,19 @@ def _cut(window: int):
                 out["n_spans"].append(int((gone[1:] & ~gone[:-1]).sum() + gone[:1].sum()))
                 out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
                 out["kept"].append(kept)
-            yield pa.RecordBatch.from_arrays([batch.column("uid"), *(pa.array(out[k], t) for k, t in (("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())))], ["uid", *out])
+                out["kept_text"].append(kept.decode(errors="ignore"))
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string()]
+            yield pa.RecordBatch.from_arrays([batch.column("uid"), *(pa.array(v, t) for v, t in zip(out.values(), types, strict=True))], ["uid", *out])
 
     return run
 
 
 def remove_repeats(documents: DataFrame, window: int = WINDOW, **limits: int) -> DataFrame:
-    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and ``kept``, the bytes that remain."""
+    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, the bytes ``kept``, and ``kept_text``.
+
+    ``kept_text`` is their text without characters that a cut left incomplete.
+    """
     docs = documents.select(safe_id().alias("uid"), text_or_empty().alias("text"))
     spans = repeated_starts(docs, window, **limits).groupBy("uid").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    cut = docs.join(spans, "uid", "left").select("uid", "text", "spans").mapInArrow(_cut(window), "uid long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    return cut.select(real_id().alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
+    cut = docs.join(spans, "uid", "left").select("uid", "text", "spans").mapInArrow(_cut(window), "uid long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, kept_text string")
+    return cut.select(real_id().alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text")
