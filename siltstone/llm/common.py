@@ -15,6 +15,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Arrow batches of texts: a few MB each, in the JVM and in Python, whatever the lengths.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
 #: Stands for a null id inside an operator, so that joins on it need no null checks.
 NULL_ID = -(2**63)
 
@@ -25,7 +28,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package from the driver's place, if they share it."""
+    """Let Python workers import this package from the driver's place, if they share it, and bound what they get at once."""
+    for key, value in BATCHES.items():
+        spark.conf.set(key, value)
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
