@@ -34,6 +34,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import PrefixHash, materialise, mix64, real_id, safe_id, slices, string_bytes, text_or_empty
 
@@ -305,13 +306,14 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW, block_bytes: int = BL
     if window <= REACH:
         raise ValueError(f"window must exceed {REACH}")
     runs = docs.where(F.octet_length("text") >= window).mapInArrow(_anchors(window), "key long, ctx long, uid long, span long")
-    shared = runs.groupBy("key").count().where("count > 1").select("key")
+    # written, so that the join below deals both sides anew: AQE can then split a frequent key
+    shared = materialise(runs.groupBy("key").count().where("count > 1").select("key"))
     rows = materialise(runs.join(shared, "key"))
     contexts = materialise(rows.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("uid", "span")).alias("one")))
     whole = rows.join(contexts.where("copies > 1").select("key", "ctx"), ["key", "ctx"])
     whole = whole.select("uid", F.shiftright("span", 14).alias("start"), ((F.shiftright("span", 7).bitwiseAND(F.lit(127))) + 1).alias("n"))
-    mixed = contexts.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    mixed = contexts.join(mixed, "key").select("one.uid", F.struct("key", "one.span", (F.col("copies") == 1).alias("lone"), (F.col("kinds") > bucket_limit).alias("hot")).alias("run"))
+    kinds = materialise(contexts.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"))
+    mixed = contexts.join(kinds, "key").select("one.uid", F.struct("key", "one.span", (F.col("copies") == 1).alias("lone"), (F.col("kinds") > bucket_limit).alias("hot")).alias("run"))
     per_doc = mixed.groupBy("uid").agg(F.collect_list("run").alias("runs"))
     found = docs.join(per_doc, "uid")
 
@@ -321,12 +323,12 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW, block_bytes: int = BL
 
     blocks = cut(False).repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(_sorted_blocks(window, block_bytes), "uid long, start long, n long")
     strings = cut(True).mapInArrow(_strings(window), "h1 long, h2 long, uid long, start long, lone boolean")
-    twice = strings.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2")
+    twice = materialise(strings.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2"))
     hot = strings.where("lone").join(twice, ["h1", "h2"]).select("uid", "start", F.lit(1).cast("long").alias("n"))
     return whole.unionByName(blocks).unionByName(hot)
 
 
-def _cut(window: int):
+def _cut(window: int, carried: bool):
     def run(batches):
         for batch in batches:
             data, at = string_bytes(batch.column("text"))
@@ -347,17 +349,24 @@ def _cut(window: int):
                 out["kept"].append(kept)
                 out["kept_text"].append(kept.decode(errors="ignore"))
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string()]
-            yield pa.RecordBatch.from_arrays([batch.column("uid"), *(pa.array(v, t) for v, t in zip(out.values(), types, strict=True))], ["uid", *out])
+            more = {"row": batch.column("row")} if carried else {}
+            yield pa.RecordBatch.from_arrays([batch.column("uid"), *(pa.array(v, t) for v, t in zip(out.values(), types, strict=True)), *more.values()], ["uid", *out, *more])
 
     return run
 
 
-def remove_repeats(documents: DataFrame, window: int = WINDOW, **limits: int) -> DataFrame:
+def remove_repeats(documents: DataFrame, window: int = WINDOW, carry: list[str] | None = None, **limits: int) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, the bytes ``kept``, and ``kept_text``.
 
-    ``kept_text`` is their text without characters that a cut left incomplete.
+    ``kept_text`` is their text without characters that a cut left incomplete. ``carry``
+    names columns to return as they are, in a struct ``row``.
     """
     docs = documents.select(safe_id().alias("uid"), text_or_empty().alias("text"))
     spans = repeated_starts(docs, window, **limits).groupBy("uid").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    cut = docs.join(spans, "uid", "left").select("uid", "text", "spans").mapInArrow(_cut(window), "uid long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, kept_text string")
-    return cut.select(real_id().alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text")
+    schema = T.StructType([T.StructField("uid", T.LongType()), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.BinaryType()), T.StructField("kept_text", T.StringType())])
+    rows, more = docs, []
+    if carry:
+        rows, more = documents.select(safe_id().alias("uid"), text_or_empty().alias("text"), F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")), ["row"]
+        schema = schema.add(rows.schema["row"])
+    cut = rows.join(spans, "uid", "left").select("uid", "text", "spans", *more).mapInArrow(_cut(window, bool(carry)), schema)
+    return cut.select(real_id().alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text", *more)
