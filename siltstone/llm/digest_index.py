@@ -19,7 +19,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, text_or_empty
+from .common import NULL_ID, fresh, safe_id, shared_dir, text_or_empty
 
 BUCKETS = 64
 
@@ -75,9 +75,10 @@ def keep_distinct(documents: DataFrame, path: str | None = None) -> DataFrame:
     """The documents that stay, with all their columns."""
     index = DigestIndex(documents.sparkSession, path)
     index.add(documents)
-    known = index.read().select(F.lower(F.hex("digest")).alias("text_sha256"), F.col("keep_id").alias("doc_id")).where("doc_id is not null")
-    rows = documents.withColumn("text_sha256", F.sha2(text_or_empty(), 256))
-    return rows.join(known, ["text_sha256", "doc_id"], "left_semi").select(*documents.columns)
+    sha, uid = fresh(documents, "text_sha256"), fresh(documents, "uid")
+    known = index.read().select(F.lower(F.hex("digest")).alias(sha), F.coalesce("keep_id", F.lit(NULL_ID)).alias(uid))
+    rows = documents.withColumns({sha: F.sha2(text_or_empty(), 256), uid: safe_id()})
+    return rows.join(known, [sha, uid], "left_semi").select(*documents.columns)
 
 
 SQL = """

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PrefixHash, materialise, mix64, real_id, safe_id, slices, string_bytes, text_or_empty
+from .common import PrefixHash, fresh, materialise, mix64, real_id, safe_id, slices, string_bytes, text_or_empty
 from .components import connected_components
 
 WORDS = 5
@@ -252,8 +252,9 @@ def near_duplicates(documents: DataFrame, words: int = WORDS, percent: int = PER
 def keep_one(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One document of each group of near duplicates: that with the smallest doc_id."""
     found = near_duplicates(documents, words, percent).where("doc_id = component_id or doc_id is null")
-    one = found.select(safe_id().alias("uid")).distinct()
-    return documents.withColumn("uid", safe_id()).join(one, "uid", "left_semi").drop("uid")
+    uid = fresh(documents, "uid")
+    one = found.select(safe_id().alias(uid)).distinct()
+    return documents.withColumn(uid, safe_id()).join(one, uid, "left_semi").select(*documents.columns)
 
 
 SQL = r"""
