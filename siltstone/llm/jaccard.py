@@ -12,9 +12,9 @@ Only connectivity is wanted, so pairs inside what is already known to be connect
 need no proof of their own:
 
 1. documents with the same set form a class; only its smallest id goes on;
-2. each class is verified against the leader of its posting lists it shares most with;
-3. components of those links; then all candidate pairs *between* components are
-   verified, which loses no link;
+2. in LEADER_ROUNDS rounds, each class is verified against one of the leaders drawn for
+   its posting lists, the one it shares most with, if that is not yet connected with it;
+3. then all candidate pairs *between* components are verified, which loses no link;
 4. components of all links.
 
 Null or blank text makes an empty set, linked with nothing. A null doc_id forms a row
@@ -41,6 +41,8 @@ PERCENT = 80
 SKETCH = 1 << 18
 #: What verifying one candidate costs, in postings.
 VERIFY_COST = 8
+#: Rounds in which documents are held against one drawn leader per posting list, before all that is still apart is.
+LEADER_ROUNDS = 2
 #: Bits of the filter that spares unneeded texts a shuffle (a fixed size).
 FILTER_BITS = 1 << 20
 
@@ -167,6 +169,13 @@ def _near(percent: int):
     return F.least(_n("mv"), _n("mw")) * 100 >= F.greatest(_n("mv"), _n("mw")) * percent
 
 
+def _marked(shared: DataFrame, known: DataFrame | None) -> DataFrame:
+    """Postings with the component that their document is known to belong to."""
+    if known is None:
+        return shared.withColumn("component", F.col("v"))
+    return shared.join(known.withColumnRenamed("id", "v"), "v", "left").withColumn("component", F.coalesce("component", "v"))
+
+
 def _matches(pairs: DataFrame, percent: int) -> DataFrame:
     """Shared postings (v, w, mv, mw) -> pairs that share enough, with how many."""
     level = F.least(_level("mv"), _level("mw"))
@@ -175,14 +184,14 @@ def _matches(pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def _some(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents that may be among ``ids``: a filter of FILTER_BITS bits, so without misses."""
-    h = F.pmod(F.xxhash64("uid"), F.lit(FILTER_BITS))
-    words = ids.select(h.alias("h")).groupBy(F.shiftright("h", 3).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1, cast(h & 7 as int))")).alias("bits")).collect()
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    if words:
-        bits[[r["at"] for r in words]] = [r["bits"] for r in words]
-    byte = F.conv(F.hex(F.substring(F.lit(bits.tobytes()), F.shiftright(h, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return docs.withColumn("h", h).withColumn("byte", byte).where(F.expr("shiftright(byte, cast(h & 7 as int)) & 1 = 1")).drop("h", "byte")
+    """The documents that may be among ``ids``: a filter of FILTER_BITS bits, so without misses.
+
+    The bits are a table of FILTER_BITS / 32 rows at most, whatever the number of ids, and broadcast as such.
+    """
+    slot = F.pmod(F.xxhash64("uid"), F.lit(FILTER_BITS))
+    words = ids.select(slot.alias("slot")).groupBy(F.shiftright("slot", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 31 as int))")).alias("bits"))
+    marked = docs.withColumns({"slot": slot, "word": F.shiftright(slot, 5)}).join(F.broadcast(words), "word")
+    return marked.where(F.expr("shiftright(bits, cast(slot & 31 as int)) & 1 = 1")).select(*docs.columns)
 
 
 def _similar(words: int, percent: int):
@@ -220,27 +229,34 @@ def near_duplicates(documents: DataFrame, words: int = WORDS, percent: int = PER
     members = first.where("counter is null").select("uid", "n", "v", "v2")
     classes = members.where("n > 0").groupBy("v", "v2").agg(F.min("uid").alias("rep"))
     postings = docs.mapInArrow(_prefixes(words, percent, sketch), "token long, v long, meta long")
-    often = postings.groupBy("token").count().where("count > 1").select("token")
-    shared = postings.join(often, "token").groupBy("token", "v", "meta").agg(F.lit(1).alias("one")).drop("one")
-    lists = shared.groupBy("token").agg(F.min("v").alias("low"), F.max("v").alias("high")).where("low < high").select("token")
-    shared = shared.join(lists, "token").join(classes.select("v", "rep"), "v").select("token", F.col("rep").alias("v"), "meta")
-    shared = materialise(shared)
-
-    leaders = shared.groupBy("token").agg(F.min(F.struct("v", "meta")).alias("lead"))
-    led = shared.join(leaders, "token").where("v != lead.v").select("v", F.col("lead.v").alias("w"), F.col("meta").alias("mv"), F.col("lead.meta").alias("mw"))
-    best = _matches(led, percent).groupBy("v").agg(F.max_by("w", F.struct("hits", "w")).alias("w"))
-    tried = materialise(best.select(F.col("v").alias("a"), F.col("w").alias("b")))
-    links = materialise(_verify(docs, tried, words, percent))
-
-    known = connected_components(links)
-    marked = shared.join(known.withColumnRenamed("id", "v"), "v", "left").withColumn("component", F.coalesce("component", "v"))
-    split = marked.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
-    open_ = materialise(marked.join(split, "token"))
+    # aggregates are written before they are joined, so that both sides are dealt anew and AQE can split a frequent token
+    often = materialise(postings.groupBy("token").count().where("count > 1").select("token"))
+    met = materialise(postings.join(often, "token"))
+    lists = materialise(met.groupBy("token").agg(F.min("v").alias("low"), F.max("v").alias("high")).where("low < high").select("token"))
+    met = met.join(lists, "token").join(classes.select("v", "rep"), "v")
+    shared = materialise(met.groupBy("token", F.col("rep").alias("v"), "meta").agg(F.lit(1).alias("one")).drop("one"))
+
+    tried = links = known = None
+    for seed in range(LEADER_ROUNDS):
+        marked = _marked(shared, known)
+        drawn = F.min_by(F.struct("v", "meta", "component"), F.xxhash64("v", F.lit(seed)))
+        leaders = marked.groupBy("token").agg(drawn.alias("lead"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+        leaders = materialise(leaders.select("token", "lead"))
+        led = marked.join(leaders, "token").where("component != lead.component").select("v", F.col("lead.v").alias("w"), F.col("meta").alias("mv"), F.col("lead.meta").alias("mw"))
+        best = _matches(led, percent).groupBy("v").agg(F.max_by("w", F.struct("hits", "w")).alias("w"))
+        pairs = best.select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")).distinct()
+        pairs = materialise(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        found = materialise(_verify(docs, pairs, words, percent))
+        tried, links = (pairs, found) if tried is None else (tried.union(pairs), links.union(found))
+        known = connected_components(links)
+
+    open_ = _marked(shared, known)
+    split = materialise(open_.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token"))
+    open_ = materialise(open_.join(split, "token"))
     other = open_.select("token", F.col("v").alias("w"), F.col("meta").alias("mw"), F.col("component").alias("other"))
     cross = open_.withColumnRenamed("meta", "mv").join(other, "token").where("v < w and component != other").where(_near(percent))
     rest = _matches(cross, percent).select(F.col("v").alias("a"), F.col("w").alias("b"))
-    done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = materialise(rest.join(done, ["a", "b"], "left_anti"))
+    rest = materialise(rest.join(tried, ["a", "b"], "left_anti"))
     more = _verify(docs, rest, words, percent)
 
     final = connected_components(links.union(more))
