@@ -223,7 +223,7 @@ def near_duplicates(documents: DataFrame, words: int = WORDS, percent: int = PER
     docs = documents.select(safe_id().alias("uid"), text_or_empty().alias("text"))
     first = materialise(docs.mapInArrow(_classes(words), "uid long, n long, v long, v2 long, counter int, seen long"))
     sketch = np.zeros(SKETCH, np.int64)
-    counters = first.where("counter is not null").groupBy("counter").agg(F.sum("seen").alias("seen")).toPandas()
+    counters = first.where("counter is not null").groupBy("counter").agg(F.sum("seen").alias("seen")).toArrow().to_pandas()
     sketch[counters["counter"]] = counters["seen"]
 
     members = first.where("counter is null").select("uid", "n", "v", "v2")

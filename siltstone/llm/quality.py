@@ -97,7 +97,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     """The unit vectors of all slots; zeros for slots without words."""
     names = [f"v{d}" for d in range(WIDTH)]
     parts = docs.mapInArrow(_surroundings, "slot int, " + ", ".join(f"{n} long" for n in names))
-    pdf = parts.groupBy("slot").agg(*(F.sum(n).alias(n) for n in names)).toPandas()
+    pdf = parts.groupBy("slot").agg(*(F.sum(n).alias(n) for n in names)).toArrow().to_pandas()
     out = np.zeros((SLOTS, WIDTH))
     out[pdf["slot"]] = pdf[names].to_numpy(float)
     return (out / np.maximum(np.linalg.norm(out, axis=1), 1e-9)[:, None]).astype(np.float32)
@@ -191,7 +191,7 @@ def score_quality(documents: DataFrame, labels: DataFrame, sample_rows: int = SA
     else:
         vectors = spark.sparkContext.broadcast(word_vectors(docs.select("text")))
         rows = docs.join(F.broadcast(sample), F.col("doc_id") == F.col("id")).select("text", "quality")
-        got = rows.mapInArrow(_features(vectors), "quality int, f array<double>").toPandas()
+        got = rows.mapInArrow(_features(vectors), "quality int, f array<double>").toArrow().to_pandas()
         y = got["quality"].to_numpy(float)
         if len(set(y)) < 2:
             scored = docs.select("doc_id", F.lit(float(len(y) > 0 and y[0])).alias("score"))
