@@ -279,8 +279,8 @@ s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5
         ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM d),
 n AS MATERIALIZED (SELECT doc_id, len(g) AS n, g FROM s),
 e AS MATERIALIZED (SELECT doc_id, n, unnest(g) AS g FROM n),
-i AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS both FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
-l AS MATERIALIZED (SELECT a, b FROM i WHERE 100 * both >= 80 * (na + nb - both)),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS shared FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM i WHERE 100 * shared >= 80 * (na + nb - shared)),
 u AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r(doc_id, root) AS (SELECT doc_id, doc_id FROM n UNION SELECT u.b, r.root FROM r JOIN u ON r.doc_id = u.a WHERE r.root < u.b)
 SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, c.component_id
