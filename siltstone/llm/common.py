@@ -57,16 +57,21 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def materialise(df: DataFrame, keep: bool = False) -> DataFrame:
+def materialise(df: DataFrame, keep: bool = False, codec: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     if not keep:
         atexit.register(_forget, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a long that no other row has, written once, so that retries and later reads agree on it."""
+    return materialise(df.withColumn(name, F.monotonically_increasing_id()), codec="zstd")
+
+
 def _forget(spark: SparkSession, path: str) -> None:
     try:
         remove(spark, path)

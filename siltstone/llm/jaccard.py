@@ -11,15 +11,17 @@ smaller l of its two documents, and has to share that many.
 Only connectivity is wanted, so pairs inside what is already known to be connected
 need no proof of their own:
 
-1. documents with the same set form a class; only its smallest id goes on;
+1. documents with the same set form a class; only its smallest row goes on;
 2. in LEADER_ROUNDS rounds, each class is verified against one of the leaders drawn for
    its posting lists, the one it shares most with, if that is not yet connected with it;
 3. then all candidate pairs *between* components are verified, which loses no link;
 4. components of all links.
 
-Null or blank text makes an empty set, linked with nothing. A null doc_id forms a row
-of its own id (null). Rows that repeat a doc_id must repeat its text; they are one
-class. Extra columns are ignored; an empty table gives an empty result.
+Null or blank text makes an empty set, linked with nothing. Rows are told apart by a
+number that is written with them; doc_id only names the result. A null doc_id counts as
+the smallest; rows without id are documents of their own. Rows that repeat a doc_id are
+one document whatever their texts, so their groups are one. Extra columns are ignored;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PrefixHash, fresh, materialise, mix64, real_id, safe_id, slices, string_bytes, text_or_empty
+from .common import NULL_ID, PrefixHash, fresh, materialise, mix64, numbered, real_id, safe_id, slices, string_bytes, text_or_empty
 from .components import connected_components
 
 WORDS = 5
@@ -87,12 +89,12 @@ def shingle_sets(data: np.ndarray, at: np.ndarray, words: int = WORDS) -> list[n
     return out
 
 
-def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Slices of the rows, with the sets of their texts."""
     for batch in batches:
         data, at = string_bytes(batch.column("text"))
-        ids = batch.column("uid").to_numpy()
         for i, j in slices(at, 1 << 20):
-            yield ids[i:j], shingle_sets(data[at[i] : at[j]], at[i : j + 1] - at[i], words)
+            yield batch.slice(i, j - i), shingle_sets(data[at[i] : at[j]], at[i : j + 1] - at[i], words)
 
 
 def _signature(s: np.ndarray) -> bytes:
@@ -100,20 +102,20 @@ def _signature(s: np.ndarray) -> bytes:
 
 
 def _classes(words: int):
-    """A row for each document (uid, n, signature), and at the end of the task its part of the sketch."""
+    """A row for each document (uid, doc, n, signature), and at the end of the task its part of the sketch."""
 
     def run(batches):
         sketch = np.zeros(SKETCH, np.int64)
-        for ids, sets in _sets(batches, words):
+        for rows, sets in _sets(batches, words):
             sig = np.frombuffer(b"".join(map(_signature, sets)), "<i8").reshape(-1, 2)
             n = np.fromiter(map(len, sets), np.int64, len(sets))
             sketch += np.bincount(np.concatenate(sets).astype(np.int64) & (SKETCH - 1), minlength=SKETCH)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n), pa.array(sig[:, 0].copy()), pa.array(sig[:, 1].copy()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.int64())], ["uid", "n", "v", "v2", "counter", "seen"])
+            yield pa.RecordBatch.from_arrays([rows.column("uid"), rows.column("doc"), pa.array(n), pa.array(sig[:, 0].copy()), pa.array(sig[:, 1].copy()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.int64())], ["uid", "doc", "n", "v", "v2", "counter", "seen"])
         at = np.flatnonzero(sketch)
         for i in range(0, len(at), 65536):
             k = at[i : i + 65536]
             none = pa.nulls(len(k), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(k.astype(np.int32)), pa.array(sketch[k])], ["uid", "n", "v", "v2", "counter", "seen"])
+            yield pa.RecordBatch.from_arrays([none, none, none, none, none, pa.array(k.astype(np.int32)), pa.array(sketch[k])], ["uid", "doc", "n", "v", "v2", "counter", "seen"])
 
     return run
 
@@ -218,15 +220,17 @@ def _verify(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Data
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_similar(words, percent), "a long, b long")
 
 
-def near_duplicates(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """documents(doc_id, text, ...) -> doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
-    docs = documents.select(safe_id().alias("uid"), text_or_empty().alias("text"))
-    first = materialise(docs.mapInArrow(_classes(words), "uid long, n long, v long, v2 long, counter int, seen long"))
+def _groups(docs: DataFrame, words: int, percent: int, by_doc: bool) -> DataFrame:
+    """docs(uid, doc, text), each uid once -> uid, doc, n, node and ``best``, the row of its group with the least (doc, uid).
+
+    Rows of one node have the same set. ``by_doc`` also links rows that share a doc, but for NULL_ID.
+    """
+    first = materialise(docs.mapInArrow(_classes(words), "uid long, doc long, n long, v long, v2 long, counter int, seen long"))
     sketch = np.zeros(SKETCH, np.int64)
     counters = first.where("counter is not null").groupBy("counter").agg(F.sum("seen").alias("seen")).toArrow().to_pandas()
     sketch[counters["counter"]] = counters["seen"]
 
-    members = first.where("counter is null").select("uid", "n", "v", "v2")
+    members = first.where("counter is null").select("uid", "doc", "n", "v", "v2")
     classes = members.where("n > 0").groupBy("v", "v2").agg(F.min("uid").alias("rep"))
     postings = docs.mapInArrow(_prefixes(words, percent, sketch), "token long, v long, meta long")
     # aggregates are written before they are joined, so that both sides are dealt anew and AQE can split a frequent token
@@ -259,18 +263,36 @@ def near_duplicates(documents: DataFrame, words: int = WORDS, percent: int = PER
     rest = materialise(rest.join(tried, ["a", "b"], "left_anti"))
     more = _verify(docs, rest, words, percent)
 
-    final = connected_components(links.union(more))
-    rows = members.join(classes, ["v", "v2"], "left").select("uid", "n", F.coalesce("rep", "uid").alias("rep"))
-    rows = rows.join(final.withColumnRenamed("id", "rep"), "rep", "left")
-    return rows.select(real_id().alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("uid")).select("doc_id", "n_shingles", real_id().alias("component_id"))
+    rows = materialise(members.join(classes, ["v", "v2"], "left").select("uid", "doc", "n", F.coalesce("rep", "uid").alias("node")))
+    links = links.union(more)
+    if by_doc:
+        named = rows.where(F.col("doc") != NULL_ID)
+        spread = materialise(named.groupBy("doc").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("doc", "a"))
+        links = links.union(named.join(spread, "doc").select("a", F.col("node").alias("b")))
+    final = connected_components(links)
+    rows = materialise(rows.join(final.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node")))
+    best = materialise(rows.groupBy("component").agg(F.min(F.struct("doc", "uid", "node")).alias("best")))
+    return rows.join(best, "component").select("uid", "doc", "n", "node", "best")
+
+
+def near_duplicates(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """documents(doc_id, text, ...) -> doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
+    docs = numbered(documents.select(safe_id().alias("doc"), text_or_empty().alias("text")), "uid")
+    rows = _groups(docs, words, percent, True)
+    return rows.select(real_id("doc").alias("doc_id"), F.col("n").alias("n_shingles"), real_id("best.doc").alias("component_id"))
 
 
 def keep_one(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One document of each group of near duplicates: that with the smallest doc_id."""
-    found = near_duplicates(documents, words, percent).where("doc_id = component_id or doc_id is null")
+    """One document of each group of near duplicates: that with the smallest doc_id.
+
+    Rows that repeat its doc_id and set are the same document and stay too, but for a null doc_id.
+    """
     uid = fresh(documents, "uid")
-    one = found.select(safe_id().alias(uid)).distinct()
-    return documents.withColumn(uid, safe_id()).join(one, uid, "left_semi").select(*documents.columns)
+    whole = numbered(documents, uid)
+    docs = whole.select(F.col(uid).alias("uid"), safe_id().alias("doc"), text_or_empty().alias("text"))
+    same = (F.col("doc") != NULL_ID) & (F.col("doc") == F.col("best.doc")) & (F.col("node") == F.col("best.node"))
+    one = _groups(docs, words, percent, False).where((F.col("uid") == F.col("best.uid")) | same)
+    return whole.join(one.select(F.col("uid").alias(uid)), uid, "left_semi").select(*documents.columns)
 
 
 SQL = r"""

@@ -17,10 +17,9 @@ corpus goes. The suffixes that can matter are sorted one bucket at a time:
    not sorted in one task: each of its strings becomes a key of its own (128-bit
    hash), counted with partial aggregation and joined back, which AQE can split.
 
-Null text counts as empty; texts shorter than ``window`` keep all their bytes; a
-null ``doc_id`` is carried through (such rows count as one document); rows that
-repeat a doc_id and text are documents of their own and repeat each other.
-Extra columns are ignored. An empty table gives an empty result.
+Null text counts as empty; texts shorter than ``window`` keep all their bytes. Each row
+is a document of its own, under a number that is written with it: ``doc_id``, null or
+repeated, is only carried through, and rows that repeat a text repeat each other. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import PrefixHash, materialise, mix64, real_id, safe_id, slices, string_bytes, text_or_empty
+from .common import PrefixHash, materialise, mix64, numbered, slices, string_bytes, text_or_empty
 
 WINDOW = 200
 #: Starts that share one k-gram at most; a power of two, at most 128.
@@ -302,7 +301,7 @@ def _strings(window: int):
 
 
 def repeated_starts(docs: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
-    """docs(uid, text) -> (uid, start, n): runs of byte offsets where a repeated string of ``window`` bytes starts."""
+    """docs(uid, text), each uid once -> (uid, start, n): runs of byte offsets where a repeated string of ``window`` bytes starts."""
     if window <= REACH:
         raise ValueError(f"window must exceed {REACH}")
     runs = docs.where(F.octet_length("text") >= window).mapInArrow(_anchors(window), "key long, ctx long, uid long, span long")
@@ -350,7 +349,7 @@ def _cut(window: int, carried: bool):
                 out["kept_text"].append(kept.decode(errors="ignore"))
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string()]
             more = {"row": batch.column("row")} if carried else {}
-            yield pa.RecordBatch.from_arrays([batch.column("uid"), *(pa.array(v, t) for v, t in zip(out.values(), types, strict=True)), *more.values()], ["uid", *out, *more])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(v, t) for v, t in zip(out.values(), types, strict=True)), *more.values()], ["doc_id", *out, *more])
 
     return run
 
@@ -361,12 +360,10 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, carry: list[str]
     ``kept_text`` is their text without characters that a cut left incomplete. ``carry``
     names columns to return as they are, in a struct ``row``.
     """
-    docs = documents.select(safe_id().alias("uid"), text_or_empty().alias("text"))
-    spans = repeated_starts(docs, window, **limits).groupBy("uid").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    schema = T.StructType([T.StructField("uid", T.LongType()), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.BinaryType()), T.StructField("kept_text", T.StringType())])
-    rows, more = docs, []
+    more = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")] if carry else []
+    rows = numbered(documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), *more), "uid")
+    spans = repeated_starts(rows.select("uid", "text"), window, **limits).groupBy("uid").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.BinaryType()), T.StructField("kept_text", T.StringType())])
     if carry:
-        rows, more = documents.select(safe_id().alias("uid"), text_or_empty().alias("text"), F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")), ["row"]
         schema = schema.add(rows.schema["row"])
-    cut = rows.join(spans, "uid", "left").select("uid", "text", "spans", *more).mapInArrow(_cut(window, bool(carry)), schema)
-    return cut.select(real_id().alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text", *more)
+    return rows.join(spans, "uid", "left").drop("uid").mapInArrow(_cut(window, bool(carry)), schema)

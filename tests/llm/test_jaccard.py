@@ -86,6 +86,32 @@ def test_nulls_repeats_and_empty(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
 
 
+def test_rows_without_id(spark):
+    """Null ids do not link different texts; of equal or near ones, one row stays."""
+    rng = random.Random(5)
+    say = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    a, b, c, d = say(100), say(100), say(100), say(100)
+    texts = [(None, a), (None, edited(rng, a, 1)), (None, b), (None, b), (None, c), (7, c), (8, d), (9, edited(rng, d, 1)), (None, None), (None, "")]
+    frame = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    got = sorted([(r.doc_id, r.n_shingles > 0, r.component_id) for r in J.near_duplicates(frame).collect()], key=str)
+    assert got == sorted([(None, True, None)] * 5 + [(7, True, None), (8, True, 8), (9, True, 8)] + [(None, False, None)] * 2, key=str)
+    kept = [(r.doc_id, r.text) for r in J.keep_one(frame).collect()]
+    assert sum(t in (texts[0][1], texts[1][1]) for _, t in kept) == 1
+    assert sorted(((i, t) for i, t in kept if t not in (texts[0][1], texts[1][1])), key=str) == sorted([(None, b), (None, c), (8, d), (None, None), (None, "")], key=str)
+
+
+def test_rows_of_one_id(spark):
+    """As in the SQL, an id is one document, whatever texts its rows have; of near rows one stays."""
+    rng = random.Random(6)
+    say = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    a, b, c = say(100), say(100), say(100)
+    near = edited(rng, c, 1)
+    texts = [(1, a), (2, edited(rng, a, 1)), (2, b), (3, edited(rng, b, 1)), (5, c), (5, near), (6, None), (6, say(20))]
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in J.near_duplicates(frame).collect()) == [(1, 1), (2, 1), (2, 1), (3, 1), (5, 5), (5, 5), (6, 6), (6, 6)]
+    assert sorted(r.doc_id for r in J.keep_one(frame).collect()) == [1, 2, 5, 6, 6]
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(40)] + [(100 + i, 100) for i in range(1, 30)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(50)]

@@ -92,6 +92,18 @@ def test_null_ids_repeats_and_empty(spark):
     assert S.remove_repeats(frame.limit(0)).count() == 0
 
 
+def test_rows_without_or_with_one_id(spark):
+    """Several rows of a null or repeated doc_id, of different, equal and near texts, are cut each by its own repeats."""
+    rng = random.Random(2)
+    text = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    part, long_ = text(250), text(5000)
+    near = long_[:4000] + "!" + long_[4001:]
+    for k in (None, 4):
+        docs = [(k, long_ + part), (k, part + text(60)), (k, text(300)), (k, near), (k, text(300) + part), (9, part), *[(k, "same " * 60)] * 2]
+        frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+        assert rows(S.remove_repeats(frame)) == brute([(i, t.encode()) for i, t in docs], 200)
+
+
 def test_whole_table(spark, data):
     frame = spark.read.parquet(f"{data}/documents.parquet")
     docs = [(r.doc_id, (r.text or "").encode()) for r in frame.collect()]
