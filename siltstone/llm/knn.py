@@ -4,8 +4,8 @@ Vectors are integers, floor(scale * x). Pivots (a bounded sample) split the quer
 into cells; a cell's summary is its radius r and its number of queries. For any query q
 of cell i with pivot p and any vector x: p.x - r|x| <= q.x <= p.x + r|x|. So
 
-1. the (k+1)-th largest lower bound over all data is a threshold for every query of
-   the cell (one more than k, since a query is no candidate of its own);
+1. the (k+1)-th largest lower bound over all ids, each by its best row, is a threshold
+   for every query of the cell (one more than k, since a query is no candidate of its own);
 2. a vector goes to just the cells in which its upper bound reaches the threshold;
 3. a cell's queries (in blocks) meet its vectors (dealt in chunks, so that a dense cell
    is many tasks), each keeps its best k, and the best k of the chunks remain.
@@ -91,14 +91,22 @@ def _bounds(x: np.ndarray, pivots: np.ndarray, radius: np.ndarray) -> tuple[np.n
     return mid - slack, mid + slack
 
 
+def _largest(ids: np.ndarray, low: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the largest bounds, each once with its largest."""
+    order = np.argsort(-low, kind="stable")
+    first = order[np.sort(np.unique(ids[order], return_index=True)[1])[:most]]
+    return ids[first], low[first]
+
+
 def _lowest(pivots: np.ndarray, radius: np.ndarray, k: int):
     def run(batches):
-        best = [np.zeros(0) for _ in radius]
+        best = [(np.zeros(0, np.int64), np.zeros(0)) for _ in radius]
         for batch in batches:
             low, _ = _bounds(_matrix(batch.column("v").to_pylist(), pivots.shape[1]), pivots, radius)
-            best = [np.sort(np.concatenate([b, low[:, i]]))[::-1][: k + 1] for i, b in enumerate(best)]
-        cell = np.repeat(np.arange(len(best), dtype=np.int32), [len(b) for b in best])
-        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.concatenate(best))], ["cell", "low"])
+            ids = batch.column("vec_id").to_numpy()
+            best = [_largest(np.concatenate([b[0], ids]), np.concatenate([b[1], low[:, i]]), k + 1) for i, b in enumerate(best)]
+        cell = np.repeat(np.arange(len(best), dtype=np.int32), [len(b) for b, _ in best])
+        yield pa.RecordBatch.from_arrays([pa.array(cell), *(pa.array(np.concatenate(x)) for x in zip(*best, strict=True))], ["cell", "vec_id", "low"])
 
     return run
 
@@ -161,7 +169,8 @@ def top_k(embeddings: DataFrame, queries, k: int = K, scale: int = SCALE) -> Dat
         radius[r["cell"]], sizes[r["cell"]] = r["far"], r["n"]
     blocks, chunks = -(-sizes // QUERY_BLOCK), max(1, -(-n // DATA_CHUNK))
 
-    lows = data.mapInArrow(_lowest(pivots, radius, k), "cell int, low double")
+    lows = data.mapInArrow(_lowest(pivots, radius, k), "cell int, vec_id long, low double")
+    lows = lows.groupBy("cell", "vec_id").agg(F.max("low").alias("low"))
     place = F.row_number().over(Window.partitionBy("cell").orderBy(F.desc("low")))
     least = np.full(len(pivots), -np.inf)
     for r in lows.withColumn("place", place).where(F.col("place") == k + 1).collect():

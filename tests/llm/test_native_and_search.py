@@ -103,6 +103,19 @@ def test_knn(spark, monkeypatch, per_pivot, chunk, block):
     assert all(sorted(x) == list(range(1, len(x) + 1)) for x in got.values())
 
 
+def test_knn_repeated_query_ids(spark, monkeypatch):
+    """A query's own rows, however many, do not displace its neighbours."""
+    monkeypatch.setattr(knn, "QUERIES_PER_PIVOT", 1)
+    own = [(20, [9.0, 0.0])] * 30 + [(40, [-9.0, 0.0])] * 2
+    others = [(100 * i + 1, [i / 8, 1.0]) for i in range(1, 26)]
+    got = knn.top_k(spark.createDataFrame(own + others, "vec_id long, embedding array<float>").repartition(3), "vec_id % 20 = 0").collect()
+    asked = dict(own)
+    for q, x in asked.items():
+        score = lambda v: sum(int(64 * a) * int(64 * b) for a, b in zip(x, v, strict=True))  # noqa: E731, B023
+        want = sorted(((-score(v), i) for i, v in own + others if i != q))[:20]
+        assert [(-r.score, r.vec_id) for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] == want
+
+
 def test_knn_odd_tables(spark):
     df = spark.createDataFrame([(20, [1.0]), (21, [2.0])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in knn.top_k(df, "vec_id % 20 = 0").collect()] == [(20, 1, 21, 64 * 128)]
