@@ -64,7 +64,16 @@ def materialise(df: DataFrame, keep: bool = False, codec: str = "snappy") -> Dat
     df.write.parquet(path, compression=codec)
     if not keep:
         atexit.register(_forget, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.shared_path = path
+    return out
+
+
+def release(*frames: DataFrame | None) -> None:
+    """Delete what :func:`materialise` wrote, once all that was made of it is written itself."""
+    for df in frames:
+        if (path := getattr(df, "shared_path", None)) is not None:
+            remove(df.sparkSession, path)
 
 
 def numbered(df: DataFrame, name: str) -> DataFrame:

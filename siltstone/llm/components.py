@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, release
 
 
 def _lowest(edges: DataFrame) -> DataFrame:
@@ -25,7 +25,8 @@ def _raise(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """edges(a, b) of longs -> (id, component): component is the smallest id reachable. Ids without edges are absent.
 
-    Each round is written to the shared folder; nothing but two numbers a round reaches the driver.
+    Each round is written to the shared folder and the one before it deleted; nothing
+    but two numbers a round reaches the driver.
     """
     now = materialise(edges.where("a != b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
     mark = None
@@ -34,7 +35,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if tuple(r) == mark or not r[0]:
             break
         mark = tuple(r)
-        now = materialise(_raise(_lowest(now)))
+        before, now = now, materialise(_raise(_lowest(now)))
+        release(before)
     else:
         raise RuntimeError("components did not settle")
     # settled edges form stars: (member, centre)

@@ -1,32 +1,43 @@
 """Near-duplicate join: word-shingle sets with Jaccard similarity at or above a threshold.
 
 Method: adaptive multi-match prefixes. Shingles have one global order, rare first (a
-count sketch of fixed size estimates how many documents hold each). Sets that overlap
-enough share at least l shingles among the first ``size - required + l`` of each, for
-any l. A longer prefix costs more postings but admits fewer candidates, so each
-document picks the l that minimises ``postings * (1 + VERIFY_COST / l)``, where
-postings is the sum of its prefix's estimated frequencies; a pair is checked with the
-smaller l of its two documents, and has to share that many.
+count sketch of fixed size estimates how many documents hold each). Sets of x and y
+shingles link if they share a(x, y) = t (x + y) / (1 + t) of them; then, for any l, they
+share at least l among the first ``x - a + l`` of the one and ``y - a + l`` of the other.
+A longer prefix costs more postings but admits fewer candidates, so each document picks
+the l that minimises ``postings * (1 + VERIFY_COST / l)``, where postings is the sum of
+its prefix's estimated frequencies; a pair is checked with the smaller l of its two
+documents, and has to share that many.
 
-Only connectivity is wanted, so pairs inside what is already known to be connected
-need no proof of their own:
+Only connectivity is wanted, so pairs inside what is already known to be connected need
+no proof of their own, and no group is paired with itself:
 
 1. documents with the same set form a class; only its smallest row goes on;
-2. in LEADER_ROUNDS rounds, each class is verified against one of the leaders drawn for
-   its posting lists, the one it shares most with, if that is not yet connected with it;
-3. then all candidate pairs *between* components are verified, which loses no link;
+2. in LEADER_ROUNDS rounds each class is verified against one leader, that of a posting
+   list and a range of sizes with which it shares most. A leader has the fewest rarer
+   shingles in its list, so it is the plainest of its group;
+3. lists that still hold several components are joined, which loses no link: a document
+   looks for smaller or equal partners, in those ranges of sizes that the position of
+   the shared shingle leaves possible, and documents of a list's main component meet
+   only those outside it;
 4. components of all links.
 
-Null or blank text makes an empty set, linked with nothing. Rows are told apart by a
-number that is written with them; doc_id only names the result. A null doc_id counts as
-the smallest; rows without id are documents of their own. Rows that repeat a doc_id are
-one document whatever their texts, so their groups are one. Extra columns are ignored;
-an empty table gives an empty result.
+Candidates are verified by their whole texts, in groups of one document with up to
+GROUP others, so that a leader's text is sent once a group and not once a pair. What a
+round has written is deleted when it has been used.
+
+Null or blank text makes an empty set, linked with nothing; very long texts are read in
+slices. Rows are told apart by a number that is written with them; doc_id only names the
+result. A null doc_id counts as the smallest; rows without id are documents of their own.
+Rows that repeat a doc_id are one document whatever their texts, so their groups are one.
+Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, PrefixHash, fresh, materialise, mix64, numbered, real_id, safe_id, slices, string_bytes, text_or_empty
+from .common import NULL_ID, PrefixHash, fresh, materialise, mix64, numbered, real_id, release, safe_id, slices, string_bytes, text_or_empty
 from .components import connected_components
 
 WORDS = 5
@@ -43,8 +54,12 @@ PERCENT = 80
 SKETCH = 1 << 18
 #: What verifying one candidate costs, in postings.
 VERIFY_COST = 8
-#: Rounds in which documents are held against one drawn leader per posting list, before all that is still apart is.
+#: Rounds in which documents are held against one leader per posting list, before all that is still apart is.
 LEADER_ROUNDS = 2
+#: Sizes whose ratio is below this share a range.
+STEP = 1.08
+#: Documents that one group verifies against one other.
+GROUP = 256
 #: Bits of the filter that spares unneeded texts a shuffle (a fixed size).
 FILTER_BITS = 1 << 20
 
@@ -135,7 +150,7 @@ def choose_level(frequency: np.ndarray, base: int, most: int, cost: float) -> in
 def _prefixes(words: int, percent: int, sketch: np.ndarray):
     def run(batches):
         for _, sets in _sets(batches, words):
-            token, v, meta = [], [], []
+            token, v, n_, pos, level_ = [], [], [], [], []
             for s in sets:
                 n = len(s)
                 if not n:
@@ -144,31 +159,27 @@ def _prefixes(words: int, percent: int, sketch: np.ndarray):
                 order = np.lexsort((s, seen))
                 need = required(n, percent)
                 base = n - need + 1
-                level = choose_level(seen[order].astype(float), base, min(need, 4095), VERIFY_COST)
+                level = choose_level(seen[order].astype(float), base, need, VERIFY_COST)
                 k = base + level - 1
                 token.append(s[order[:k]])
                 v.append(np.full(k, np.frombuffer(_signature(s)[:8], "<i8")[0]))
-                meta.append((n << 24) | (level << 12) | np.maximum(1, np.arange(k) - base + 2))
+                n_.append(np.full(k, n, np.int32))
+                pos.append(np.arange(k, dtype=np.int32))
+                level_.append(np.full(k, level, np.int32))
             if token:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).view(np.int64)), pa.array(np.concatenate(v)), pa.array(np.concatenate(meta))], ["token", "v", "meta"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).view(np.int64)), *(pa.array(np.concatenate(c)) for c in (v, n_, pos, level_))], ["token", "v", "n", "pos", "level"])
 
     return run
 
 
-def _n(c: str):
-    return F.shiftright(c, 24)
-
-
-def _level(c: str):
-    return F.shiftright(c, 12).bitwiseAND(F.lit(4095))
-
+def _overlap(n, m, percent: int):
+    """The least overlap of linked sets of n and m."""
+    return F.ceil((n + m) * percent / F.lit(100 + percent))
 
-def _rank(c: str):
-    return F.col(c).bitwiseAND(F.lit(4095))
 
-
-def _near(percent: int):
-    return F.least(_n("mv"), _n("mw")) * 100 >= F.greatest(_n("mv"), _n("mw")) * percent
+def _range(n, shift: float = 0.0):
+    """The range of sizes that n belongs to."""
+    return F.floor(F.log(n.cast("double")) / F.lit(math.log(STEP)) + F.lit(shift)).cast("int")
 
 
 def _marked(shared: DataFrame, known: DataFrame | None) -> DataFrame:
@@ -178,11 +189,65 @@ def _marked(shared: DataFrame, known: DataFrame | None) -> DataFrame:
     return shared.join(known.withColumnRenamed("id", "v"), "v", "left").withColumn("component", F.coalesce("component", "v"))
 
 
-def _matches(pairs: DataFrame, percent: int) -> DataFrame:
-    """Shared postings (v, w, mv, mw) -> pairs that share enough, with how many."""
-    level = F.least(_level("mv"), _level("mw"))
-    hits = pairs.where(_near(percent) & (F.greatest(_rank("mv"), _rank("mw")) <= level))
-    return hits.groupBy("v", "w").agg(F.count(F.lit(1)).alias("hits"), F.min(level).alias("level")).where("hits >= level")
+def _met(percent: int):
+    """Whether a shared shingle of v and w lies in both prefixes, by their smaller level."""
+    both, level = _overlap(F.col("n"), F.col("m"), percent), F.least("level", "level_w")
+    sizes = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
+    return sizes & (F.col("pos") < F.col("n") - both + level) & (F.col("pos_w") < F.col("m") - both + level)
+
+
+def _enough(met: DataFrame) -> DataFrame:
+    """Shared shingles (v, w, level, level_w) -> pairs that share enough, with how many."""
+    return met.groupBy("v", "w").agg(F.count(F.lit(1)).alias("hits"), F.min(F.least("level", "level_w")).alias("least")).where("hits >= least")
+
+
+def _leaders(marked: DataFrame, seed: int, percent: int) -> DataFrame:
+    """pairs(a, b): each document b with the leader a that it shares most with, of those it is not connected with."""
+    at = marked.withColumn("range", _range(F.col("n"), seed / LEADER_ROUNDS))
+    # the plainest first; later rounds take others of equal rank
+    order = F.struct("pos", F.xxhash64("v", F.lit(seed)))
+    leaders = at.groupBy("token", "range").agg(F.min_by(F.struct("v", "n", "pos", "level", "component"), order).alias("lead"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    leaders = materialise(leaders.select("token", "range", *(F.col(f"lead.{c}").alias(d) for c, d in (("v", "w"), ("n", "m"), ("pos", "pos_w"), ("level", "level_w"), ("component", "other")))))
+    met = at.join(leaders, ["token", "range"]).where((F.col("component") != F.col("other")) & _met(percent))
+    best = _enough(met).groupBy("v").agg(F.max_by("w", F.struct("hits", "w")).alias("w"))
+    pairs = materialise(best.select(F.col("w").alias("a"), F.col("v").alias("b")))
+    release(leaders)
+    return pairs
+
+
+def _once(pairs: DataFrame, *used: DataFrame) -> DataFrame:
+    """pairs(v, w), written as (a, b) without turned ones: the more frequent of two is a."""
+    often = pairs.select("v", "w")
+    often = often.union(often.select("w", "v")).groupBy("v").count()
+    often = materialise(often)
+    named = pairs.join(often.withColumnRenamed("count", "cv"), "v").join(often.select(F.col("v").alias("w"), F.col("count").alias("cw")), "w")
+    first = F.struct(F.col("cv"), F.col("v")) > F.struct(F.col("cw"), F.col("w"))
+    out = materialise(named.select(F.when(first, F.col("v")).otherwise(F.col("w")).alias("a"), F.when(first, F.col("w")).otherwise(F.col("v")).alias("b")).distinct())
+    release(often, *used)
+    return out
+
+
+def _across(marked: DataFrame, percent: int) -> DataFrame:
+    """pairs(a, b) of all that may link two components."""
+    split = materialise(marked.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token"))
+    open_ = materialise(marked.join(split, "token"))
+    n, level = F.col("n"), F.col("level")
+    # a partner w is no larger than v, so w's prefix is that of a partner of its own size at least
+    small = open_.where(F.col("pos") < n - _overlap(n, n, percent) + level).withColumn("range", _range(n))
+    main = small.groupBy("token", "range", "component").count()
+    main = materialise(main.groupBy("token", "range").agg(F.max_by("component", F.struct("count", "component")).alias("main")))
+    small = small.join(main, ["token", "range"]).withColumn("in_main", F.col("component") == F.col("main"))
+    small = small.select("token", "range", "in_main", F.col("v").alias("w"), n.alias("m"), F.col("pos").alias("pos_w"), level.alias("level_w"), F.col("component").alias("other"))
+    # the largest partner that the position leaves possible: overlap(n, m) <= n - pos - 1 + level
+    most = F.floor((n - F.col("pos") - 1 + level) * F.lit((100 + percent) / percent) + F.lit(1e-9)) - n
+    lo, hi = F.greatest(F.lit(1), F.ceil(n * percent / F.lit(100))), F.least(n, most)
+    large = open_.where(lo <= hi).withColumn("range", F.explode(F.sequence(_range(lo), _range(hi)))).join(main, ["token", "range"])
+    # those of the main component meet only others
+    sides = F.when(F.col("component") == F.col("main"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
+    large = large.withColumn("in_main", F.explode(sides)).drop("main")
+    met = large.join(small, ["token", "range", "in_main"]).where((F.struct("m", "w") < F.struct("n", "v")) & (F.col("component") != F.col("other")) & _met(percent))
+    pairs = materialise(_enough(met).select("v", "w"))
+    return _once(pairs, pairs, split, open_, main)
 
 
 def _some(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -197,27 +262,40 @@ def _some(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _similar(words: int, percent: int):
+    """Rows come sorted by (a, part): the text of a first (b is null), then those of its partners."""
+
     def run(batches):
+        now = hub = None
         for batch in batches:
-            sides = []
-            for c in ("text_a", "text_b"):
-                data, at = string_bytes(batch.column(c))
-                sides.append([s for i, j in slices(at, 1 << 20) for s in shingle_sets(data[at[i] : at[j]], at[i : j + 1] - at[i], words)])
-            keep = []
-            for x, y in zip(*sides, strict=True):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            keep = np.zeros(len(batch), bool)
+            i = 0
+            for rows, sets in _sets([batch], words):
+                for key, b, s in zip(zip(rows.column("a").to_pylist(), rows.column("part").to_pylist(), strict=True), rows.column("b").to_pylist(), sets, strict=True):
+                    if b is None:
+                        now, hub = key, s
+                    else:
+                        if key != now:
+                            raise ValueError("a group without its first text")
+                        both = len(np.intersect1d(hub, s, assume_unique=True))
+                        keep[i] = 100 * both >= percent * (len(hub) + len(s) - both)
+                    i += 1
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
 
     return run
 
 
 def _verify(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """pairs(a, b) -> those whose sets are similar, by their whole texts."""
-    some = _some(docs, pairs.select(F.col("a").alias("uid")).union(pairs.select("b")))
-    left = pairs.join(some.select(F.col("uid").alias("a"), F.col("text").alias("text_a")), "a")
-    both = left.join(some.select(F.col("uid").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(_similar(words, percent), "a long, b long")
+    """pairs(a, b), each once -> those whose sets are similar, by their whole texts."""
+    size = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(GROUP)).alias("parts"))
+    size = materialise(size)
+    spokes = pairs.join(size, "a").select(F.col("b").alias("uid"), "a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), "b")
+    hubs = size.select(F.col("a").alias("uid"), "a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"))
+    wanted = materialise(spokes.union(hubs))
+    texts = _some(docs, wanted.select("uid")).join(wanted, "uid").select("a", "part", "b", "text")
+    sorted_ = texts.repartition("a", "part").sortWithinPartitions("a", "part", "b")
+    out = materialise(sorted_.mapInArrow(_similar(words, percent), "a long, b long"))
+    release(size, wanted)
+    return out
 
 
 def _groups(docs: DataFrame, words: int, percent: int, by_doc: bool) -> DataFrame:
@@ -232,47 +310,34 @@ def _groups(docs: DataFrame, words: int, percent: int, by_doc: bool) -> DataFram
 
     members = first.where("counter is null").select("uid", "doc", "n", "v", "v2")
     classes = members.where("n > 0").groupBy("v", "v2").agg(F.min("uid").alias("rep"))
-    postings = docs.mapInArrow(_prefixes(words, percent, sketch), "token long, v long, meta long")
+    postings = docs.mapInArrow(_prefixes(words, percent, sketch), "token long, v long, n int, pos int, level int")
     # aggregates are written before they are joined, so that both sides are dealt anew and AQE can split a frequent token
     often = materialise(postings.groupBy("token").count().where("count > 1").select("token"))
-    met = materialise(postings.join(often, "token"))
-    lists = materialise(met.groupBy("token").agg(F.min("v").alias("low"), F.max("v").alias("high")).where("low < high").select("token"))
-    met = met.join(lists, "token").join(classes.select("v", "rep"), "v")
-    shared = materialise(met.groupBy("token", F.col("rep").alias("v"), "meta").agg(F.lit(1).alias("one")).drop("one"))
-
-    tried = links = known = None
-    for seed in range(LEADER_ROUNDS):
-        marked = _marked(shared, known)
-        drawn = F.min_by(F.struct("v", "meta", "component"), F.xxhash64("v", F.lit(seed)))
-        leaders = marked.groupBy("token").agg(drawn.alias("lead"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-        leaders = materialise(leaders.select("token", "lead"))
-        led = marked.join(leaders, "token").where("component != lead.component").select("v", F.col("lead.v").alias("w"), F.col("meta").alias("mv"), F.col("lead.meta").alias("mw"))
-        best = _matches(led, percent).groupBy("v").agg(F.max_by("w", F.struct("hits", "w")).alias("w"))
-        pairs = best.select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")).distinct()
-        pairs = materialise(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        found = materialise(_verify(docs, pairs, words, percent))
-        tried, links = (pairs, found) if tried is None else (tried.union(pairs), links.union(found))
-        known = connected_components(links)
-
-    open_ = _marked(shared, known)
-    split = materialise(open_.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token"))
-    open_ = materialise(open_.join(split, "token"))
-    other = open_.select("token", F.col("v").alias("w"), F.col("meta").alias("mw"), F.col("component").alias("other"))
-    cross = open_.withColumnRenamed("meta", "mv").join(other, "token").where("v < w and component != other").where(_near(percent))
-    rest = _matches(cross, percent).select(F.col("v").alias("a"), F.col("w").alias("b"))
-    rest = materialise(rest.join(tried, ["a", "b"], "left_anti"))
-    more = _verify(docs, rest, words, percent)
-
+    # copies of a text give the same postings: they are one class, and its shingles count once
+    met = postings.join(often, "token").groupBy("token", "v").agg(*(F.first(c).alias(c) for c in ("n", "pos", "level")))
+    met = materialise(met.join(classes.select("v", "rep"), "v").drop("v").withColumnRenamed("rep", "v"))
+    lists = materialise(met.groupBy("token").count().where("count > 1").select("token"))
+    shared = materialise(met.join(lists, "token"))
+    release(often, met, lists)
+
+    links, known = docs.sparkSession.createDataFrame([], "a long, b long"), None
+    for find in [*(partial(_leaders, seed=k) for k in range(LEADER_ROUNDS)), _across]:
+        pairs = find(_marked(shared, known), percent=percent)
+        if not pairs.isEmpty():
+            links = links.union(_verify(docs, pairs, words, percent))
+            known = connected_components(links)
+        release(pairs)
+    release(shared)
     rows = materialise(members.join(classes, ["v", "v2"], "left").select("uid", "doc", "n", F.coalesce("rep", "uid").alias("node")))
-    links = links.union(more)
     if by_doc:
         named = rows.where(F.col("doc") != NULL_ID)
         spread = materialise(named.groupBy("doc").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("doc", "a"))
         links = links.union(named.join(spread, "doc").select("a", F.col("node").alias("b")))
-    final = connected_components(links)
-    rows = materialise(rows.join(final.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node")))
-    best = materialise(rows.groupBy("component").agg(F.min(F.struct("doc", "uid", "node")).alias("best")))
-    return rows.join(best, "component").select("uid", "doc", "n", "node", "best")
+        known = connected_components(links)
+    marked = materialise((rows.withColumn("component", F.col("node")) if known is None else rows.join(known.withColumnRenamed("id", "node"), "node", "left")).withColumn("component", F.coalesce("component", "node")))
+    release(first, rows)
+    best = materialise(marked.groupBy("component").agg(F.min(F.struct("doc", "uid", "node")).alias("best")))
+    return marked.join(best, "component").select("uid", "doc", "n", "node", "best")
 
 
 def near_duplicates(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
