@@ -1,6 +1,7 @@
 """Toxicity and quality: held-out accuracy, and the models against plain counting."""
 
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -24,11 +25,11 @@ def outcome(spark, score, column):
 def test_toxicity_held_out(spark):
     x = outcome(spark, toxicity.score_toxicity, "toxic")
     hit = x["predicted"] == 1
-    assert (x["toxic"][hit] == 1).mean() > 0.9 and hit[x["toxic"] == 1].mean() > 0.4
+    assert (x["toxic"][hit] == 1).mean() > 0.9 and hit[x["toxic"] == 1].mean() >= 0.85
     rank = x["score"].rank()
     n1 = (x["toxic"] == 1).sum()
     auc = (rank[x["toxic"] == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * (len(x) - n1))
-    assert auc > 0.85
+    assert auc > 0.9
 
 
 def test_quality_held_out(spark):
@@ -38,49 +39,120 @@ def test_quality_held_out(spark):
 
 
 def pack(s):
-    out = 0
-    for c in s:
-        out = out << 10 | (0 if c == "^" else 1 if c == "$" else ord(c) % toxicity.CODES + 2)
-    return out
+    codes = [0 if c == "^" else 1 if c == "$" else ord(c) for c in s]
+    two = [sum(c << toxicity.BITS * k for k, c in enumerate(reversed(part))) for part in (codes[:3], codes[3:])]
+    return tuple(two)
 
 
 def test_grams():
-    got, begin = toxicity.grams(["ab", "c"])
-    assert got.tolist() == [pack(g) for g in ("^^^^^a", "^^^^ab", "^^^ab$", "^^^^^c", "^^^^c$")] and begin.tolist() == [0, 3]
-
-
-def test_kneser_ney_against_plain_counting():
-    """The same probabilities from counters of strings."""
-    n = toxicity.ORDER
-    words = ["abba", "abra", "abc", "cab", "bab"]
-    padded = ["^" * (n - 1) + w + "$" for w in words]
-    top = Counter(p[i - n + 1 : i + 1] for p in padded for i in range(n - 1, len(p)))
-    levels, now = {}, set(top)
-    for order in range(n - 1, 0, -1):
-        levels[order] = Counter(g[-order:] for g in now)
-        now = set(levels[order])
-
+    hi, lo, begin = toxicity.grams(["ab", "\U0001d5ba"])
+    assert list(zip(hi.tolist(), lo.tolist(), strict=True)) == [pack(g) for g in ("^^^^^a", "^^^^ab", "^^^ab$", "^^^^^\U0001d5ba", "^^^^\U0001d5ba$")] and begin.tolist() == [0, 3]
+    want = [pack("^" + g[:-1]) for g in ("^^^^^a", "^^^^ab", "^^^ab$")]
+    assert [tuple(int(x[i]) for x in toxicity.context(hi, lo)) for i in range(3)] == want
+
+
+class Plain:
+    """The class models by counters of strings."""
+
+    def __init__(self, corpus, taught):
+        n = toxicity.ORDER
+        self.levels, now = {}, {g for t in corpus for w in toxicity.words_of(t) for g in self.grams(w)}
+        for order in range(n - 1, 0, -1):
+            self.levels[order] = Counter(g[-order:] for g in now)
+            now = set(self.levels[order])
+        self.chars = len(self.levels[1])
+        self.of = [[(t, toxicity.words_of(t)) for t, y in taught if y == c] for c in (0, 1)]
+        self.gram = [Counter(g for _, ws in d for g in {g for w in ws for g in self.grams(w)}) for d in self.of]
+        self.word = [Counter(w for _, ws in d for w in set(ws)) for d in self.of]
+        self.pair = [Counter(p for _, ws in d for p in set(zip(ws, ws[1:], strict=False))) for d in self.of]
+
+    @staticmethod
+    def grams(w):
+        p = "^" * (toxicity.ORDER - 1) + w + "$"
+        return [p[i : i + toxicity.ORDER] for i in range(len(w) + 1)]
+
+    @staticmethod
     def smooth(counts, gram, lower):
-        rows = {g: c for g, c in counts.items() if g[:-1] == gram[:-1]}
-        t = sum(rows.values())
-        return (max(counts.get(gram, 0) - 0.75, 0) + 0.75 * len(rows) * lower) / t if t else lower
-
-    def table(counts, slots):
-        out = [np.zeros(slots) for _ in range(3)]
-        for g, c in counts.items():
-            out[0][pack(g) % slots] += c
-            out[1][pack(g[:-1]) % slots] += c
-            out[2][pack(g[:-1]) % slots] += 1
-        return tuple(out)
-
-    other = Counter({g: 1 for g in list(top)[:9]})
-    model = toxicity.Model({o: table(levels[o], toxicity.SLOTS) for o in levels}, [table(other, toxicity.CLASS_SLOTS), table(top, toxicity.CLASS_SLOTS)])
-    for gram in [*top, "^^^^^z", "^^^abz", "zzzzzz"]:
-        lower = 1 / toxicity.CODES
-        for order in range(1, n):
-            lower = smooth(levels[order], gram[-order:], lower)
-        want = math.log(smooth(top, gram, lower) / smooth(other, gram, lower))
-        assert model.log_ratio(np.array([pack(gram)]))[0] == pytest.approx(want, abs=1e-6)
+        rows = [c for g, c in counts.items() if g[:-1] == gram[:-1]]
+        return (max(counts.get(gram, 0) - 0.75, 0) + 0.75 * len(rows) * lower) / sum(rows) if rows else lower
+
+    def shared(self, gram):
+        lower = 1 / self.chars
+        for order in range(1, toxicity.ORDER):
+            lower = self.smooth(self.levels[order], gram[-order:], lower)
+        return max(lower, 1e-12)
+
+    def ratio(self, w):
+        low = [self.shared(g) if any(c[g] for c in self.gram) else 1e-12 for g in self.grams(w)]
+        steps = [[math.log(self.smooth(c, g, x)) for g, x in zip(self.grams(w), low, strict=True)] for c in self.gram]
+        r = sum(steps[1]) - sum(steps[0])
+        n = [c[w] for c in self.word]
+        if max(n) > 1:
+            total, keep = [sum(c.values()) for c in self.word], lambda k: k - 0.75 if k > 1 else 0
+            rest = [sum(x - keep(x) for x in c.values()) / t for c, t in zip(self.word, total, strict=True)]
+            q = sum(map(math.log, low))
+            p = [keep(n[c]) / total[c] + rest[c] * math.exp(q + c * r) for c in (0, 1)]
+            r = math.log(p[1] / p[0]) - math.log(rest[1] / rest[0])
+        return r
+
+    def excess(self, u, v):
+        out = []
+        for c in (0, 1):
+            heads = [n for (a, _), n in self.pair[c].items() if a == u]
+            keep = lambda k: k - 0.75 if k > 1 else 0
+            word = max(keep(self.word[c][v]), 0.5) / sum(self.word[c].values())
+            out.append(math.log((keep(self.pair[c][u, v]) / word + sum(n - keep(n) for n in heads)) / sum(heads)) if heads else 0.0)
+        return out[1] - out[0]
+
+    def features(self, text, pairs):
+        ws = toxicity.words_of(text)
+        if not ws:
+            return [0.0] * toxicity.FEATURES
+        r = {w: self.ratio(w) for w in set(ws)}
+        e = [r[ws[0]] / (len(ws[0]) + 1)]
+        for u, v in zip(ws, ws[1:], strict=False):
+            e.append(r[v] / (len(v) + 1))
+            if (u, v) in pairs:
+                e[-1] = max(e[-1], (r[u] + r[v] + self.excess(u, v)) / (len(u) + len(v) + 2))
+        top, k = sorted(e, reverse=True), max(1, len(e) // toxicity.SHARE)
+        three = top[:3] + [min(0.0, top[min(len(top), max(3, k)) - 1])] * (3 - len(top[:3]))
+        return [*three, sum(e) / len(e), sum(top[:k]) / k, 1.0]
+
+
+def test_toxicity_against_plain_counting(spark):
+    """The whole query, over documents with one- and two-word expressions, without hashes or tables."""
+    rng = random.Random(3)
+    say = lambda n: " ".join("".join(rng.choices(["ba", "do", "ki", "lu", "ma", "sé"], k=rng.randint(1, 3))) for _ in range(n))
+    texts = [say(rng.randint(0, 40)) for _ in range(120)]
+    bad = [rng.random() < 0.4 for _ in texts]
+    texts = [f"{t} {rng.choice(['zork', 'zorkish', 'ba quux'])} {say(2)}" if b else t for t, b in zip(texts, bad, strict=True)] + ["", "1 2 !"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(b)) for i, b in enumerate(bad[:100])], "doc_id long, toxic int")
+    sample = toxicity.labelled_sample(labels, "toxic", 1000).collect()
+    assert {r.id for r in sample} == {i for i in range(100) if zlib.crc32(str(i).encode()) % 5}
+    part = lambda *halves: Plain(texts, [(texts[r.id], r.toxic) for r in sample if r.half in halves])
+    models = [part(0), part(1), part(0, 1)]
+    pairs = {p for p, n in models[2].pair[1].items() if n >= toxicity.PAIR_DOCS}
+    assert pairs
+    x = np.array([models[1 - r.half].features(texts[r.id], pairs) for r in sample])
+    y = np.array([r.toxic for r in sample], float)
+    w = toxicity.fit_logistic(x, y)
+    want = {i: toxicity.sigmoid(np.array(models[2].features(t, pairs)) @ w[:-1] + w[-1]) for i, t in enumerate(texts)}
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, labels).collect()}
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=2e-3) for i in want)
+
+
+def test_long_runs_of_letters(spark):
+    """An insult deep in a run without blanks counts, and so does a sample too large for its bound."""
+    rng = random.Random(4)
+    run = lambda n: "".join(rng.choices(["ba", "do", "ki", "lu"], k=n))
+    rows = [(i, run(150) + "zorkzork" * (i % 2) + run(150)) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity.score_toxicity(docs, labels).collect()}
+    assert np.mean([got[i] == i % 2 for i in range(300, 400)]) > 0.8
+    assert toxicity.taught(docs, labels, 1000, 10_000).count() < 20
+    assert {r.doc_id % 2 for r in toxicity.keep_clean(docs.where("doc_id >= 300"), labels.limit(0)).collect()} == {0, 1}
 
 
 @pytest.mark.parametrize("score, column", [(toxicity.score_toxicity, "toxic"), (quality.score_quality, "quality")])
