@@ -158,9 +158,9 @@ def _prefixes(words: int, percent: int, sketch: np.ndarray):
                 seen = sketch[s.astype(np.int64) & (SKETCH - 1)]
                 order = np.lexsort((s, seen))
                 need = required(n, percent)
-                base = n - need + 1
-                level = choose_level(seen[order].astype(float), base, need, VERIFY_COST)
-                k = base + level - 1
+                # the level is chosen for partners of the same size; smaller ones need a longer prefix
+                level = choose_level(seen[order].astype(float), n - -(-2 * n * percent // (100 + percent)) + 1, need, VERIFY_COST)
+                k = n - need + level
                 token.append(s[order[:k]])
                 v.append(np.full(k, np.frombuffer(_signature(s)[:8], "<i8")[0]))
                 n_.append(np.full(k, n, np.int32))
