@@ -81,6 +81,26 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     return materialise(df.withColumn(name, F.monotonically_increasing_id()), codec="zstd")
 
 
+#: Bits of a membership filter (a fixed size: 2^23 bits are 262,144 rows of two longs).
+FILTER_BITS = 1 << 23
+
+
+def filter_of(ids: DataFrame, *key: str) -> DataFrame:
+    """A filter of FILTER_BITS bits over the keys of ``ids``, as a small written table."""
+    slot = F.pmod(F.xxhash64(*key), F.lit(FILTER_BITS))
+    bits = F.bit_or(F.expr("shiftleft(1L, cast(slot & 31 as int))")).alias("bits")
+    return materialise(ids.select(slot.alias("slot")).groupBy(F.shiftright("slot", 5).alias("word")).agg(bits))
+
+
+def may_hold(df: DataFrame, held: DataFrame, *key: str, name: str) -> DataFrame:
+    """``df`` with ``name``: whether its key may be in the filter; false is certain. The filter's size bounds the broadcast."""
+    slot = F.pmod(F.xxhash64(*key), F.lit(FILTER_BITS))
+    word, bits = fresh(df, "word"), fresh(df, "bits")
+    marked = df.withColumn(word, F.shiftright(slot, 5)).join(F.broadcast(held.withColumnsRenamed({"word": word, "bits": bits})), word, "left")
+    hit = F.getbit(F.coalesce(F.col(bits), F.lit(0).cast("long")), slot.bitwiseAND(F.lit(31)).cast("int")) == 1
+    return marked.withColumn(name, hit).drop(word, bits)
+
+
 def _forget(spark: SparkSession, path: str) -> None:
     try:
         remove(spark, path)

@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, PrefixHash, fresh, materialise, mix64, numbered, real_id, release, safe_id, slices, string_bytes, text_or_empty
+from .common import NULL_ID, PrefixHash, filter_of, fresh, materialise, may_hold, mix64, numbered, real_id, release, safe_id, slices, string_bytes, text_or_empty
 from .components import connected_components
 
 WORDS = 5
@@ -60,8 +60,6 @@ LEADER_ROUNDS = 2
 STEP = 1.08
 #: Documents that one group verifies against one other.
 GROUP = 256
-#: Bits of the filter that spares unneeded texts a shuffle (a fixed size).
-FILTER_BITS = 1 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -250,17 +248,6 @@ def _across(marked: DataFrame, percent: int) -> DataFrame:
     return _once(pairs, pairs, split, open_, main)
 
 
-def _some(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents that may be among ``ids``: a filter of FILTER_BITS bits, so without misses.
-
-    The bits are a table of FILTER_BITS / 32 rows at most, whatever the number of ids, and broadcast as such.
-    """
-    slot = F.pmod(F.xxhash64("uid"), F.lit(FILTER_BITS))
-    words = ids.select(slot.alias("slot")).groupBy(F.shiftright("slot", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 31 as int))")).alias("bits"))
-    marked = docs.withColumns({"slot": slot, "word": F.shiftright(slot, 5)}).join(F.broadcast(words), "word")
-    return marked.where(F.expr("shiftright(bits, cast(slot & 31 as int)) & 1 = 1")).select(*docs.columns)
-
-
 def _similar(words: int, percent: int):
     """Rows come sorted by (a, part): the text of a first (b is null), then those of its partners."""
 
@@ -291,10 +278,11 @@ def _verify(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Data
     spokes = pairs.join(size, "a").select(F.col("b").alias("uid"), "a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), "b")
     hubs = size.select(F.col("a").alias("uid"), "a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"))
     wanted = materialise(spokes.union(hubs))
-    texts = _some(docs, wanted.select("uid")).join(wanted, "uid").select("a", "part", "b", "text")
+    held = filter_of(wanted, "uid")  # texts that nobody wants are not shuffled
+    texts = may_hold(docs, held, "uid", name="wanted").where("wanted").drop("wanted").join(wanted, "uid").select("a", "part", "b", "text")
     sorted_ = texts.repartition("a", "part").sortWithinPartitions("a", "part", "b")
     out = materialise(sorted_.mapInArrow(_similar(words, percent), "a long, b long"))
-    release(size, wanted)
+    release(size, wanted, held)
     return out
 
 

@@ -1,19 +1,23 @@
 """Exact top-k search by inner product: a Voronoi join of queries with data.
 
-Vectors are integers, floor(scale * x). Pivots (a bounded sample) split the queries
-into cells; a cell's summary is its radius r and its number of queries. For any query q
-of cell i with pivot p and any vector x: p.x - r|x| <= q.x <= p.x + r|x|. So
-
-1. the (k+1)-th largest lower bound over all ids, each by its best row, is a threshold
-   for every query of the cell (one more than k, since a query is no candidate of its own);
-2. a vector goes to just the cells in which its upper bound reaches the threshold;
-3. a cell's queries (in blocks) meet its vectors (dealt in chunks, so that a dense cell
-   is many tasks), each keeps its best k, and the best k of the chunks remain.
-
-Vectors that are null or empty or hold null or non-finite components take no part, nor
-do null ids; shorter vectors count as padded with zeros. Rows with a query's id are its
-own; a query that repeats is answered once. Ties go to the smaller id. Extra columns
-are ignored. Scores are exact while they fit a long.
+Vectors are integers, floor(scale * x). Pivots, a hashed sample of the data that grows
+with it, split all vectors into cells by the nearest pivot. A cell's summary is its
+pivot p, its radius r and its number of rows. For a query q and any vector x of the cell:
+q.x <= q.p + r|q|. So
+
+1. each query meets one chunk of the cell whose pivot scores best with it; the k-th best
+   score found there is the query's threshold;
+2. a query is copied to just those cells whose bound reaches its threshold, and so meets
+   only the data that may matter;
+3. a block of queries meets a chunk of a cell's vectors (so that a dense cell is many
+   tasks); what reaches a query's threshold is returned, k rows a chunk at most, and the
+   best k of all chunks remain.
+
+Vectors that are null or empty, hold null or non-finite components or components whose
+integer does not fit a long take no part, nor do null ids; shorter vectors count as
+padded with zeros, whatever their length. Rows with a query's id are its own, however
+many; a query that repeats is answered once. Ties go to the smaller id. Extra columns
+are ignored; no vectors give no rows. Scores are exact while they fit a long.
 """
 
 from __future__ import annotations
@@ -28,9 +32,9 @@ from .common import materialise
 
 SCALE = 64
 K = 20
-#: Pivots at most, and queries per pivot below that.
-PIVOTS = 64
-QUERIES_PER_PIVOT = 512
+#: Pivots at least and at most (which bounds what is sent to tasks), and rows per pivot between.
+LEAST_PIVOTS, MOST_PIVOTS = 4, 16_384
+ROWS_PER_PIVOT = 4096
 QUERY_BLOCK = 2048
 DATA_CHUNK = 8192
 
@@ -42,7 +46,7 @@ def _valid(scale: int):
             for i, x in zip(batch.column("vec_id").to_pylist(), batch.column("embedding").to_pylist(), strict=True):
                 if i is not None and x and None not in x:
                     v = np.array(x, np.float64)
-                    if np.isfinite(v).all():
+                    if np.isfinite(v).all() and (np.abs(v) * scale < 2.0**62).all():
                         ids.append(i)
                         vectors.append(np.floor(scale * v).astype("<i8").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(vectors, pa.binary())], ["vec_id", "v"])
@@ -82,49 +86,37 @@ def _cells(pivots: np.ndarray):
     return run
 
 
-def _bounds(x: np.ndarray, pivots: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lower and upper bounds of (vector, cell), a little wider than rounding."""
-    f = x.astype(np.float64)
-    norm = np.sqrt((f * f).sum(1))[:, None]
-    mid, slack = f @ pivots.T.astype(np.float64), radius[None] * norm
-    slack = slack * (1 + 1e-9) + 1e-9 * np.abs(mid) + 1e-6
-    return mid - slack, mid + slack
+def _home(pivots: np.ndarray, chunks: np.ndarray):
+    """Each query with the cell whose pivot scores best, and one chunk of it."""
 
-
-def _largest(ids: np.ndarray, low: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of the largest bounds, each once with its largest."""
-    order = np.argsort(-low, kind="stable")
-    first = order[np.sort(np.unique(ids[order], return_index=True)[1])[:most]]
-    return ids[first], low[first]
-
-
-def _lowest(pivots: np.ndarray, radius: np.ndarray, k: int):
     def run(batches):
-        best = [(np.zeros(0, np.int64), np.zeros(0)) for _ in radius]
+        full = np.flatnonzero(chunks)
         for batch in batches:
-            low, _ = _bounds(_matrix(batch.column("v").to_pylist(), pivots.shape[1]), pivots, radius)
-            ids = batch.column("vec_id").to_numpy()
-            best = [_largest(np.concatenate([b[0], ids]), np.concatenate([b[1], low[:, i]]), k + 1) for i, b in enumerate(best)]
-        cell = np.repeat(np.arange(len(best), dtype=np.int32), [len(b) for b, _ in best])
-        yield pa.RecordBatch.from_arrays([pa.array(cell), *(pa.array(np.concatenate(x)) for x in zip(*best, strict=True))], ["cell", "vec_id", "low"])
+            q = _matrix(batch.column("v").to_pylist(), pivots.shape[1]).astype(np.float64)
+            cell = full[(q @ pivots[full].T.astype(np.float64)).argmax(1)]
+            chunk = batch.column("vec_id").to_numpy().astype(np.uint64) % chunks[cell].astype(np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(cell.astype(np.int32)), pa.array(chunk.astype(np.int32)), pa.nulls(len(cell), pa.int64())], ["vec_id", "v", "cell", "chunk", "least"])
 
     return run
 
 
-def _deal(pivots: np.ndarray, radius: np.ndarray, least: np.ndarray, blocks: np.ndarray, chunks: int):
-    """Each vector once for every block of queries that may need it."""
+def _admitted(pivots: np.ndarray, radius: np.ndarray, chunks: np.ndarray):
+    """Each query once for every chunk of every cell whose bound reaches its threshold."""
 
     def run(batches):
         for batch in batches:
-            _, high = _bounds(_matrix(batch.column("v").to_pylist(), pivots.shape[1]), pivots, radius)
-            row, cell = np.nonzero((high >= least) & (blocks > 0))
-            times = blocks[cell]
-            block = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            row, cell = np.repeat(row, times), np.repeat(cell, times)
-            ids = batch.column("vec_id").to_numpy()[row]
-            part = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(chunks)
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(block.astype(np.int32)), pa.array(part.astype(np.int32)), batch.column("vec_id").take(take), batch.column("v").take(take)], ["cell", "block", "chunk", "vec_id", "v"])
+            for i in range(0, len(batch), 512):
+                part = batch.slice(i, 512)
+                q = _matrix(part.column("v").to_pylist(), pivots.shape[1]).astype(np.float64)
+                mid, slack = q @ pivots.T.astype(np.float64), np.sqrt((q * q).sum(1))[:, None] * radius
+                # a little wider than rounding
+                high = mid + slack * (1 + 1e-9) + 1e-9 * np.abs(mid) + 1e-6
+                least = part.column("least").to_numpy(zero_copy_only=False).astype(np.float64)
+                row, cell = np.nonzero((np.isnan(least)[:, None] | (high >= least[:, None])) & (chunks > 0))
+                times = chunks[cell]
+                chunk = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                take = pa.array(np.repeat(row, times))
+                yield pa.RecordBatch.from_arrays([part.column("vec_id").take(take), part.column("v").take(take), pa.array(np.repeat(cell, times).astype(np.int32)), pa.array(chunk.astype(np.int32)), part.column("least").take(take)], ["vec_id", "v", "cell", "chunk", "least"])
 
     return run
 
@@ -135,10 +127,14 @@ def _local(dim: int, k: int):
         if len(queries) and len(data):
             ids = data["vec_id"].to_numpy(np.int64)
             x, asked = _matrix(data["v"], dim), queries["vec_id"].to_numpy(np.int64)
+            least = queries["least"].tolist()
             for i in range(0, len(asked), 256):
                 scores = _products(_matrix(queries["v"].iloc[i : i + 256], dim), x)
-                for q, s in zip(asked[i : i + 256], scores, strict=True):
-                    other = np.flatnonzero(ids != q)
+                for q, bound, s in zip(asked[i : i + 256], least[i : i + 256], scores, strict=True):
+                    able = ids != q
+                    if bound is not None and bound == bound:
+                        able &= s >= int(bound)
+                    other = np.flatnonzero(able)
                     t = s[other]
                     if len(t) > k:
                         other = other[t >= np.partition(t, len(t) - k)[len(t) - k]]
@@ -149,38 +145,47 @@ def _local(dim: int, k: int):
     return solve
 
 
+def _meet(queries: DataFrame, placed: DataFrame, chunks: np.ndarray, dim: int, k: int) -> DataFrame:
+    """queries(vec_id, v, cell, chunk, least) against the rows of their chunks -> query_id, vec_id, score."""
+    # a chunk is copied once for each block of queries that it meets
+    blocks = queries.groupBy("cell", "chunk").agg(F.ceil(F.count(F.lit(1)) / F.lit(QUERY_BLOCK)).cast("int").alias("blocks"))
+    blocks = materialise(blocks)
+    of = F.element_at(F.lit([max(1, int(c)) for c in chunks]), F.col("cell") + 1)
+    right = placed.withColumn("chunk", F.pmod(F.xxhash64("vec_id", "v"), of).cast("int")).join(blocks, ["cell", "chunk"])
+    right = right.select("cell", "chunk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "vec_id", "v")
+    left = queries.join(blocks, ["cell", "chunk"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).drop("blocks")
+    # the threshold as a decimal keeps its exact value beside nulls in pandas
+    left = left.withColumn("least", F.col("least").cast("decimal(20,0)"))
+    key = ["cell", "chunk", "block"]
+    return left.groupBy(key).cogroup(right.groupBy(key)).applyInPandas(_local(dim, k), "query_id long, vec_id long, score long")
+
+
 def top_k(embeddings: DataFrame, queries, k: int = K, scale: int = SCALE) -> DataFrame:
     """embeddings(vec_id, embedding); ``queries`` a condition on vec_id -> query_id, rank, vec_id, score."""
     spark = embeddings.sparkSession
     raw = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     data = materialise(raw.mapInArrow(_valid(scale), "vec_id long, v binary"))
-    asked = data.where(queries).dropDuplicates(["vec_id"])
+    asked = materialise(data.where(queries).dropDuplicates(["vec_id"]))
     n, dim = data.agg(F.count(F.lit(1)), F.coalesce(F.max(F.octet_length("v")), F.lit(0))).first()
-    n_queries, dim = asked.count(), dim // 8
-    if not n_queries:
+    dim //= 8
+    if asked.isEmpty():
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    count = max(1, min(PIVOTS, n_queries // QUERIES_PER_PIVOT))
-    first = asked.orderBy(F.xxhash64("vec_id"), "vec_id").limit(count).collect()
-    pivots = _matrix([bytes(r["v"]) for r in first], dim)
-    placed = asked.mapInArrow(_cells(pivots), "vec_id long, v binary, cell int, far double")
-    placed = materialise(placed)
-    radius, sizes = np.zeros(len(pivots)), np.zeros(len(pivots), np.int64)
+    count = min(MOST_PIVOTS, max(LEAST_PIVOTS, n // ROWS_PER_PIVOT))
+    first = data.orderBy(F.xxhash64("vec_id"), "vec_id").limit(count).toArrow()
+    pivots = _matrix(first["v"].to_pylist(), dim)
+    placed = materialise(data.mapInArrow(_cells(pivots), "vec_id long, v binary, cell int, far double"))
+    radius, size = np.zeros(len(pivots)), np.zeros(len(pivots), np.int64)
     for r in placed.groupBy("cell").agg(F.max("far").alias("far"), F.count(F.lit(1)).alias("n")).collect():
-        radius[r["cell"]], sizes[r["cell"]] = r["far"], r["n"]
-    blocks, chunks = -(-sizes // QUERY_BLOCK), max(1, -(-n // DATA_CHUNK))
-
-    lows = data.mapInArrow(_lowest(pivots, radius, k), "cell int, vec_id long, low double")
-    lows = lows.groupBy("cell", "vec_id").agg(F.max("low").alias("low"))
-    place = F.row_number().over(Window.partitionBy("cell").orderBy(F.desc("low")))
-    least = np.full(len(pivots), -np.inf)
-    for r in lows.withColumn("place", place).where(F.col("place") == k + 1).collect():
-        least[r["cell"]] = r["low"]
-
-    right = data.mapInArrow(_deal(pivots, radius, least, blocks, chunks), "cell int, block int, chunk int, vec_id long, v binary")
-    split = F.element_at(F.lit([int(b) for b in np.maximum(blocks, 1)]), F.col("cell") + 1)
-    left = placed.withColumn("block", F.pmod(F.xxhash64("vec_id"), split).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    key = ["cell", "block", "chunk"]
-    found = left.groupBy(key).cogroup(right.groupBy(key)).applyInPandas(_local(dim, k), "query_id long, vec_id long, score long")
+        radius[r["cell"]], size[r["cell"]] = r["far"], r["n"]
+    chunks = -(-size // DATA_CHUNK)
+    rows = "vec_id long, v binary, cell int, chunk int, least long"
+
+    near = _meet(asked.mapInArrow(_home(pivots, chunks), rows), placed.drop("far"), chunks, dim, k)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
+    least = near.withColumn("place", place).where(F.col("place") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("least"))
+    known = materialise(asked.join(materialise(least), "vec_id", "left"))
+    wide = known.mapInArrow(_admitted(pivots, radius, chunks), rows)
+    found = _meet(wide, placed.drop("far"), chunks, dim, k)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

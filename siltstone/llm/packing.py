@@ -2,7 +2,7 @@
 
 A document's ids (and the end id) are cut into full pieces, which are sequences of
 their own, and one remainder. Remainders meet in shards of about ``shard_docs``
-documents, dealt by a hash of the document's content, and each shard is packed alone:
+documents, dealt by a hash of content and place, and each shard is packed alone:
 
 * the largest remaining length opens a window;
 * a bitset (one big integer: bit s is set if the sum s can be reached) takes the other
@@ -14,8 +14,10 @@ Padding goes up to the capacity, except for sequences whose length is a power of
 so a window that cannot be filled prefers such a sum. Shards hold lengths and check
 sums, not ids (unless asked for), so a task's memory does not depend on the texts.
 
-Null text counts as empty (just the end id); a null doc_id is carried through; rows
-that repeat are packed each; extra columns are ignored; no documents give no pieces.
+Null text counts as empty (just the end id); ids of any size, null ones among them, are
+carried through as they are; rows that repeat are packed each; very long texts are many
+full pieces, of which a shard holds numbers only; equal lengths go in order of arrival;
+extra columns are ignored; no documents give no pieces.
 """
 
 from __future__ import annotations
@@ -27,8 +29,8 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -61,14 +63,16 @@ class WordIds:
 
     The pattern splits a text into words that the model encodes each on its own. New
     words are merged by rank where the vocabulary's ids follow its merges, which is
-    checked; else, and for unusual texts, the tokenizer itself is asked.
+    checked; else, and for unusual texts (such as hold an added token's content), the
+    tokenizer itself is asked.
     """
 
     def __init__(self, path: str, pattern: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
         self.find = regex.compile(pattern).findall
         self.plain = re.compile(_PLAIN_WORDS).findall if pattern == _STANDARD else None
         self.known: dict[str, bytes] = {}
@@ -91,6 +95,8 @@ class WordIds:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def _split(self, text: str) -> list[str] | None:
+        if self.added(text):
+            return None
         if self.plain and _PLAIN.fullmatch(text):
             return self.plain(text)
         return None if _UNSURE.search(text) else self.find(text)
@@ -199,23 +205,23 @@ def place(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np
 
 
 def _pack(capacity: int, with_ids: bool):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        total = pdf["doc_tokens"].to_numpy(np.int64)
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        total = rows["doc_tokens"].to_numpy()
         full, rest = total // capacity, total % capacity
         sequence, offset, n = place(rest, capacity)
         pieces = full + (rest > 0)
-        row = np.repeat(np.arange(len(pdf)), pieces)
+        row = np.repeat(np.arange(len(total)), pieces)
         k = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        last = (k == full[row])
-        out = pd.DataFrame({
-            "doc_id": pdf["doc_id"].array.take(row), "start": k * capacity, "length": np.where(last, rest[row], capacity),
-            "ids_crc32": np.concatenate([np.asarray(c, np.int64) for c in pdf["crcs"]]) if len(pdf) else np.zeros(0, np.int64), "doc_tokens": total[row],
-            "sequence_id": (int(key[0]) << 32) + np.where(last, sequence[row], n + np.cumsum(~last) - 1), "offset": np.where(last, offset[row], 0),
-        })
+        last = k == full[row]
+        start, length = k * capacity, np.where(last, rest[row], capacity)
+        out = {
+            "doc_id": rows["doc_id"].take(pa.array(row)), "start": start, "length": length, "ids_crc32": pc.list_flatten(rows["crcs"]), "doc_tokens": total[row],
+            "sequence_id": (key[0].as_py() << 32) + np.where(last, sequence[row], n + np.cumsum(~last) - 1), "offset": np.where(last, offset[row], 0),
+        }
         if with_ids:
-            ids = pdf["ids"].tolist()
-            out["ids"] = [ids[r][4 * s : 4 * (s + m)] for r, s, m in zip(row, out["start"], out["length"], strict=True)]
-        return out
+            ids = rows["ids"].to_pylist()
+            out["ids"] = pa.array([ids[r][4 * s : 4 * (s + m)] for r, s, m in zip(row, start, length, strict=True)], pa.binary())
+        return pa.table(out)
 
     return run
 
@@ -230,7 +236,8 @@ def pack_documents(documents: DataFrame, path: str, pattern: str, end_id: int =
     shards = max(1, -(-documents.count() // shard_docs))
     schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("doc_tokens", T.LongType()), T.StructField("crcs", T.ArrayType(T.LongType())), *ids])
     docs = documents.select("doc_id", text_or_empty().alias("text")).mapInArrow(_tokenise(path, pattern, end_id, capacity, with_ids), schema)
-    docs = docs.withColumn("shard", F.pmod(F.xxhash64("doc_id", "doc_tokens", "crcs"), F.lit(shards)))
+    # a row's place in its file spreads rows that repeat; it is the same when a task is run again
+    docs = docs.withColumn("shard", F.pmod(F.xxhash64("crcs", F.monotonically_increasing_id()), F.lit(shards)))
     longs = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
     out = T.StructType([T.StructField("doc_id", id_type), *(T.StructField(c, T.LongType()) for c in longs), *ids])
-    return docs.groupBy("shard").applyInPandas(_pack(capacity, with_ids), out)
+    return docs.groupBy("shard").applyInArrow(_pack(capacity, with_ids), out)

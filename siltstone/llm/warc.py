@@ -3,13 +3,14 @@
 Of pages with equal payloads of at least ``least`` bytes the smallest page_id becomes
 the response record and the others revisit it; smaller payloads are all responses. A
 task takes its rows in page order, buffers records up to a bound, trains a dictionary
-on them, and writes an archive: first a skippable frame (magic 0x184D2A5D) that holds
+on the first TRAINING_BYTES of them, and writes an archive: first a skippable frame (magic 0x184D2A5D) that holds
 the dictionary, then one frame per record. Archive names depend on the task's place
 and files appear by renaming, so a repeated task overwrites what it wrote before.
 
 Null html is an empty payload, a null url ``about:blank``. Null page_ids are written
 but never referred to. Rows that repeat a page_id are records of their own; of equal
-payloads all rows with the smallest page_id are responses. Extra columns are ignored.
+payloads all rows with the smallest page_id are responses. A very long payload is one
+record, however large. Extra columns are ignored; no pages give no archives.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import filter_of, materialise, may_hold
+
 LEAST = 100
 #: Raw bytes of the records in one archive, about; a single record may exceed it.
 ARCHIVE_BYTES = 8 << 20
@@ -39,14 +42,37 @@ MAGIC = 0x184D2A5D
 
 
 def classify(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """page_id, url, payload, payload_digest, payload_bytes, refers_to, refers_uri."""
+    """page_id, url, payload, payload_digest, payload_bytes, refers_to, refers_uri.
+
+    Payloads stay where they are read, unless their digest may occur again; of those only
+    one that may be a group's first goes through the join with its html. Both are told by
+    filters of fixed size, whose errors only cost a shuffled payload.
+    """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("payload_digest", F.sha2("html", 256)).withColumn("payload_bytes", F.octet_length("html").cast("long"))
     large = rows.where(F.col("payload_bytes") >= least)
-    first = large.groupBy("payload_digest").agg(F.min_by(F.struct(F.col("page_id").alias("id"), F.col("url").alias("uri")), F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first.id is not null")
-    rows = rows.join(first.select("payload_digest", "first"), "payload_digest", "left")
-    again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first.id"))
-    return rows.select("page_id", "url", F.when(~again, F.col("html")).alias("payload"), "payload_digest", "payload_bytes", F.when(again, F.col("first.id")).alias("refers_to"), F.when(again, F.col("first.uri")).alias("refers_uri"))
+    # written, so that the join below deals both sides anew and AQE can split a frequent payload
+    first = materialise(large.groupBy("payload_digest").agg(F.min_by(F.struct(F.col("page_id").alias("id"), F.col("url").alias("uri")), F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first.id is not null").drop("n"))
+    again, lead = filter_of(first, "payload_digest"), filter_of(first.select("payload_digest", F.col("first.id").alias("page_id")), "payload_digest", "page_id")
+    marked = may_hold(may_hold(rows, again, "payload_digest", name="again"), lead, "payload_digest", "page_id", name="lead")
+    whole = ["page_id", "url", "payload", "payload_digest", "payload_bytes", "refers_to", "refers_uri"]
+    marked = marked.withColumn("again", F.col("again") & (F.col("payload_bytes") >= least))
+    alone = marked.where("not again").withColumns({"payload": F.col("html"), "refers_to": F.lit(None).cast(pages.schema["page_id"].dataType), "refers_uri": F.lit(None).cast("string")})
+    # a page without id refers to the first like any other; it is no first itself
+    met = marked.where("again").withColumn("html", F.when(F.col("lead"), F.col("html"))).join(first, "payload_digest", "left")
+    revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first.id"))
+    met = met.withColumns({"refers_to": F.when(revisit, F.col("first.id")), "refers_uri": F.when(revisit, F.col("first.uri"))})
+    told = met.where(F.col("refers_to").isNotNull() | F.col("html").isNotNull()).withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("html")))
+    out = alone.select(whole).unionByName(told.select(whole))
+    # digests that the filter wrongly took for repeated ones: few pages, whose html is fetched
+    lost = materialise(met.where(F.col("refers_to").isNull() & F.col("html").isNull()).select("page_id", "payload_digest").distinct())
+    if not lost.isEmpty():
+        back = may_hold(marked.where("again and not lead"), filter_of(lost, "payload_digest", "page_id"), "payload_digest", "page_id", name="fetch").where("fetch")
+        found = lost.select(F.col("payload_digest").alias("lost_digest"), F.col("page_id").alias("lost_id"))
+        back = back.join(found, F.col("page_id").eqNullSafe(F.col("lost_id")) & (F.col("payload_digest") == F.col("lost_digest")), "left_semi")
+        back = back.withColumns({"payload": F.col("html"), "refers_to": F.lit(None).cast(pages.schema["page_id"].dataType), "refers_uri": F.lit(None).cast("string")})
+        out = out.unionByName(back.select(whole))
+    return out
 
 
 def _name(page_id: int | None) -> str:
@@ -139,7 +165,8 @@ def _store(uri: str, data: bytes) -> None:
     else:
         from pyarrow.fs import FileSystem
 
-        fs, path = FileSystem.from_uri(uri)
+        # Hadoop's names of stores, as arrow knows them
+        fs, path = FileSystem.from_uri({"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}.get(where.scheme, where.scheme) + uri[len(where.scheme) :])
         fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
         temporary = f"{path}.{uuid.uuid4().hex}.tmp"
         with fs.open_output_stream(temporary) as f:

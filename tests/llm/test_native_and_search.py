@@ -8,8 +8,9 @@ import struct
 import numpy as np
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
-from siltstone.llm import chat, digest_index, knn, warc
+from siltstone.llm import chat, common, digest_index, knn, warc
 from siltstone.llm.common import shared_dir
 
 
@@ -26,6 +27,16 @@ def test_exact_duplicates(spark):
     assert sorted(r.doc_id for r in digest_index.keep_distinct(df).collect()) == sorted(set(keep.values()))
 
 
+def test_batches_agree(spark):
+    rng = random.Random(8)
+    rows = [(rng.randrange(40) if rng.random() < 0.9 else None, rng.choice("abcdefgh") * rng.randint(0, 2)) for _ in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [sorted(map(tuple, digest_index.exact_duplicates(df, batches=b).collect()), key=str) for b in (1, 2, 5)]
+    assert got[0] == got[1] == got[2]
+    kept = digest_index.keep_distinct(df).collect()
+    assert sorted(r.text for r in kept) == sorted({t for _, t in rows})
+
+
 def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     plan = digest_index.exact_duplicates(df)._jdf.queryExecution().executedPlan().toString()
@@ -41,8 +52,11 @@ def test_index_persists_and_grows(spark):
     again.add(batch)
     got = {r.doc_id: (r.keep_id, r.kept) for r in again.describe(batch).collect()}
     assert got == {9: (1, False), 10: (10, True), None: (None, True)}
-    assert again.read().count() == 4
-    plan = again.read().hint("merge").join(again.read().hint("merge"), "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
+    assert {(r.keep_id, r.group_size) for r in again.read().collect()} == {(1, 2), (2, 1), (10, 1), (None, 1)}
+    again.add(spark.createDataFrame([(20, "a"), (21, "a"), (22, "d")], "doc_id long, text string"))
+    assert {(r.keep_id, r.group_size) for r in again.read().collect()} == {(1, 4), (2, 1), (10, 1), (None, 2)}
+    assert "Exchange" not in again.read()._jdf.queryExecution().executedPlan().toString()
+    plan = again._table().hint("merge").join(again._table().hint("merge"), "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
 
 
@@ -71,7 +85,16 @@ def test_chat(spark):
     got = {r.conv_id: (r.n_turns, r.n_copies, r.rendered) for r in chat.format_conversations(df).collect()}
     assert got == brute_chat(rows)
     assert chat.format_conversations(df.limit(0)).count() == 0
-    assert chat.format_conversations(spark.createDataFrame([(None, 0, "user", "hi")], "conv_id long, turn long, role string, text string")).first().conv_id is None
+    alone = spark.createDataFrame([(None, 0, "user", "hi"), (None, 5, None, "hi"), (None, 0, "user", "ho"), (None, 0, "user", "say"), (3, 0, "user", "ho"), (4, 0, "user", "say"), (4, 1, "user", "more")], "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.n_turns, r.n_copies) for r in chat.format_conversations(alone).collect()}
+    assert got == {(None, 1, 2), (3, 1, 2), (4, 2, 1)}
+
+
+def test_long_conversation(spark):
+    n = 3000
+    df = spark.range(2 * n).select((F.col("id") / n).cast("long").alias("conv_id"), (F.col("id") % n).alias("turn"), F.lit("user").alias("role"), (F.col("id") % n).cast("string").alias("text")).where(f"conv_id = 0 or turn < {n // 2}")
+    got = chat.format_conversations(df).collect()
+    assert [(r.conv_id, r.n_turns, r.n_copies) for r in got] == [(0, n, 1)]
 
 
 def brute_knn(rows, k=20):
@@ -85,9 +108,9 @@ def brute_knn(rows, k=20):
     return out
 
 
-@pytest.mark.parametrize("per_pivot, chunk, block", [(1, 64, 2), (512, 8192, 2048)])
+@pytest.mark.parametrize("per_pivot, chunk, block", [(20, 16, 2), (4096, 8192, 2048)])
 def test_knn(spark, monkeypatch, per_pivot, chunk, block):
-    monkeypatch.setattr(knn, "QUERIES_PER_PIVOT", per_pivot)
+    monkeypatch.setattr(knn, "ROWS_PER_PIVOT", per_pivot)
     monkeypatch.setattr(knn, "DATA_CHUNK", chunk)
     monkeypatch.setattr(knn, "QUERY_BLOCK", block)
     rng = np.random.default_rng(2)
@@ -105,7 +128,8 @@ def test_knn(spark, monkeypatch, per_pivot, chunk, block):
 
 def test_knn_repeated_query_ids(spark, monkeypatch):
     """A query's own rows, however many, do not displace its neighbours."""
-    monkeypatch.setattr(knn, "QUERIES_PER_PIVOT", 1)
+    monkeypatch.setattr(knn, "ROWS_PER_PIVOT", 4)
+    monkeypatch.setattr(knn, "DATA_CHUNK", 8)
     own = [(20, [9.0, 0.0])] * 30 + [(40, [-9.0, 0.0])] * 2
     others = [(100 * i + 1, [i / 8, 1.0]) for i in range(1, 26)]
     got = knn.top_k(spark.createDataFrame(own + others, "vec_id long, embedding array<float>").repartition(3), "vec_id % 20 = 0").collect()
@@ -116,6 +140,18 @@ def test_knn_repeated_query_ids(spark, monkeypatch):
         assert [(-r.score, r.vec_id) for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] == want
 
 
+def test_knn_copies_only_what_bounds_admit():
+    """With vectors in clusters a query goes to few cells."""
+    rng = np.random.default_rng(5)
+    pivots = (rng.normal(size=(50, 16)) * 1000).astype(np.int64)
+    q = pivots[:20] + rng.integers(-5, 6, (20, 16))
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"vec_id": list(range(20)), "v": [x.astype("<i8").tobytes() for x in q], "least": pa.array([int(x @ p) for x, p in zip(q, pivots, strict=False)], pa.int64())})
+    got = list(knn._admitted(pivots, np.full(50, 20.0), np.full(50, 2))(iter([batch])))
+    assert 40 <= sum(map(len, got)) < 0.1 * 20 * 50 * 2
+
+
 def test_knn_odd_tables(spark):
     df = spark.createDataFrame([(20, [1.0]), (21, [2.0])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in knn.top_k(df, "vec_id % 20 = 0").collect()] == [(20, 1, 21, 64 * 128)]
@@ -124,6 +160,17 @@ def test_knn_odd_tables(spark):
     assert knn.top_k(large, "vec_id % 20 = 0").first().score == 192_000_000 * 128_000_000 + 4096
 
 
+def test_warc_filters_that_err(spark, monkeypatch):
+    """Filters of one word take nearly every digest for repeated; the result stays."""
+    monkeypatch.setattr(common, "FILTER_BITS", 32)
+    rows = [(i, f"http://x/{i}", f"{'p' * 120}{i // 3 if i % 2 else i}") for i in range(120)]
+    got = {r.page_id: r for r in warc.classify(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    first = {}
+    for i, _, html in rows:
+        first.setdefault(html, i)
+    assert len(got) == 120 and all((got[i].refers_to, got[i].payload) == ((None, html) if first[html] == i else (first[html], None)) for i, _, html in rows)
+
+
 def test_warc(spark):
     big, rng = "<p>" + "é" * 100, random.Random(3)
     rows = [(5, "http://a/x?y=1", big), (3, "http://b", big), (9, None, big), (1, "http://c", "small"), (2, "http://d", "small"), (4, "http://e\r\nEvil: 1", None), (6, "", ""), (None, "http://n", big)]
