@@ -14,9 +14,7 @@ ALPHABET = ["  ", "   ", "a", "b", "the", " ", "\n", "\t", "é", "漢", "😀",
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 def test_ids_are_the_tokenizers(tokenizer, spark, data):
@@ -81,5 +79,8 @@ def test_odd_rows(spark, tokenizer):
     check(got, {r[0]: r[1] for r in rows}, tokenizer, 1)
     assert all(len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32 for r in got)
     assert K.pack_documents(frame.limit(0), PATH, P.PATTERN).count() == 0
+    large = [(None, "n"), (2**60 + 1, "a"), (2**60 + 3, "b"), (-(2**63), "c")]
+    got = K.pack_documents(spark.createDataFrame(large, "doc_id long, text string").coalesce(1), PATH, P.PATTERN).collect()
+    check(got, dict(large), tokenizer, 1)
     twice = K.pack_documents(spark.createDataFrame([(7, "again")] * 3, "doc_id long, text string"), PATH, P.PATTERN).collect()
     assert len(twice) == 3 and len({(r.sequence_id, r.offset) for r in twice}) == 3

@@ -40,7 +40,6 @@ def test_stages(spark, data):
             assert hashlib.sha256(r.text.encode()).hexdigest() == cut[k][0][3]
 
     tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     pieces = {}
     for r in pipeline.STAGES[-1][1](spark, kept[-1], data).collect():
         pieces.setdefault(r.doc_id, []).append(r)
@@ -75,4 +74,5 @@ def test_clashing_columns_and_repeated_rows(spark, data):
     for name, stage in pipeline.STAGES[:4]:
         got = stage(spark, docs, data)
         assert got.columns == docs.columns
-        assert sorted((r.doc_id, r.uid, r.text_sha256) for r in got.collect()) == [(1, 7, "a"), (2, 8, "b"), (2, 8, "b")], name
+        times = 1 if name == "exact_dedup" else 2  # equal rows are equal texts
+        assert sorted((r.doc_id, r.uid, r.text_sha256) for r in got.collect()) == [(1, 7, "a")] + [(2, 8, "b")] * times, name
