@@ -41,9 +41,9 @@ WINDOW = 200
 #: Starts that share one k-gram at most; a power of two, at most 128.
 REACH = 128
 #: Bytes of text that one block sorts, about.
-BLOCK_BYTES = 1 << 21
-#: Different contexts of a bucket that one block may hold: about what fills a block.
-BUCKET_LIMIT = BLOCK_BYTES // 256
+BLOCK_BYTES = 1 << 20
+#: Different contexts of a bucket that one block may hold.
+BUCKET_LIMIT = 8192
 PERIOD = 16
 
 
@@ -241,7 +241,7 @@ def _contexts(window: int):
             ids = batch.column("uid").to_numpy()[rows]
             for i in range(0, len(text), 8192):
                 j = slice(i, i + 8192)
-                yield pa.RecordBatch.from_arrays([inner.field("key")[j], pa.array(ids[j]), pa.array(span[j]), inner.field("lone")[j], pa.array(text[j], pa.binary())], ["key", "uid", "span", "lone", "context"])
+                yield pa.RecordBatch.from_arrays([inner.field("key")[j], pa.array(ids[j]), pa.array(span[j]), inner.field("lone")[j], inner.field("hot")[j], pa.array(text[j], pa.binary())], ["key", "uid", "span", "lone", "hot", "context"])
 
     return run
 
@@ -314,14 +314,13 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW, block_bytes: int = BL
     kinds = materialise(contexts.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"))
     mixed = contexts.join(kinds, "key").select("one.uid", F.struct("key", "one.span", (F.col("copies") == 1).alias("lone"), (F.col("kinds") > bucket_limit).alias("hot")).alias("run"))
     per_doc = mixed.groupBy("uid").agg(F.collect_list("run").alias("runs"))
-    found = docs.join(per_doc, "uid")
-
-    def cut(hot: bool) -> DataFrame:
-        chosen = found.withColumn("runs", F.filter("runs", lambda r: r["hot"] if hot else ~r["hot"])).where(F.size("runs") > 0)
-        return chosen.select("uid", "text", "runs").mapInArrow(_contexts(window), "key long, uid long, span long, lone boolean, context binary")
-
-    blocks = cut(False).repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(_sorted_blocks(window, block_bytes), "uid long, start long, n long")
-    strings = cut(True).mapInArrow(_strings(window), "h1 long, h2 long, uid long, start long, lone boolean")
+    # the texts are read once for all contexts, whichever way these go
+    found = docs.join(per_doc, "uid").select("uid", "text", "runs")
+    cuts = materialise(found.mapInArrow(_contexts(window), "key long, uid long, span long, lone boolean, hot boolean, context binary"), codec="zstd")
+    columns = ("key", "uid", "span", "lone", "context")
+    ordered = cuts.where("not hot").select(*columns).repartition(F.col("key")).sortWithinPartitions("key")
+    blocks = ordered.mapInArrow(_sorted_blocks(window, block_bytes), "uid long, start long, n long")
+    strings = cuts.where("hot").select(*columns).mapInArrow(_strings(window), "h1 long, h2 long, uid long, start long, lone boolean")
     twice = materialise(strings.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2"))
     hot = strings.where("lone").join(twice, ["h1", "h2"]).select("uid", "start", F.lit(1).cast("long").alias("n"))
     return whole.unionByName(blocks).unionByName(hot)
