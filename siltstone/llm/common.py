@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -76,6 +78,16 @@ def release(*frames: DataFrame | None) -> None:
             remove(df.sparkSession, path)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: the driver is small, and its tables come and go."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # no glibc
+        pass
+
+
 def numbered(df: DataFrame, name: str) -> DataFrame:
     """``df`` with a long that no other row has, written once, so that retries and later reads agree on it."""
     return materialise(df.withColumn(name, F.monotonically_increasing_id()), codec="zstd")

@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, PrefixHash, filter_of, fresh, materialise, may_hold, mix64, numbered, real_id, release, safe_id, slices, string_bytes, text_or_empty
+from .common import NULL_ID, PrefixHash, filter_of, fresh, give_back, materialise, may_hold, mix64, numbered, real_id, release, safe_id, slices, string_bytes, text_or_empty
 from .components import connected_components
 
 WORDS = 5
@@ -295,6 +295,8 @@ def _groups(docs: DataFrame, words: int, percent: int, by_doc: bool) -> DataFram
     sketch = np.zeros(SKETCH, np.int64)
     counters = first.where("counter is not null").groupBy("counter").agg(F.sum("seen").alias("seen")).toArrow().to_pandas()
     sketch[counters["counter"]] = counters["seen"]
+    del counters
+    give_back()
 
     members = first.where("counter is null").select("uid", "doc", "n", "v", "v2")
     classes = members.where("n > 0").groupBy("v", "v2").agg(F.min("uid").alias("rep"))

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, mix64, release, text_or_empty
+from .common import give_back, materialise, mix64, release, text_or_empty
 
 ORDER = 6
 #: Bits of a character in a packed gram: all of Unicode. 0 stands before a word, 1 behind it.
@@ -51,7 +51,7 @@ PAIR_DOCS = 2
 SHARE = 40
 #: Runs of letters beyond LONG are no words; WINDOW characters of them are held against the models at once.
 LONG, WINDOW = 48, 10
-SAMPLE_ROWS = 20_000
+SAMPLE_ROWS = 12_000
 SAMPLE_BYTES = 64 << 20
 CACHE_WORDS = 300_000
 #: Grams that a task remembers so as not to send them twice.
@@ -100,21 +100,33 @@ def _tail(order: int):
 
 
 class Table:
-    """Rows of numbers by gram: found by a hash, held against the gram itself."""
+    """Rows of numbers by gram, in an open-addressing table of slots."""
 
     def __init__(self, hi: np.ndarray, lo: np.ndarray, values: np.ndarray):
-        key = _key(hi, lo)
-        order = np.argsort(key)
-        self.key, self.hi, self.lo, self.values = key[order], hi[order], lo[order], np.ascontiguousarray(values[order], np.float32)
-        if len(key) > 1 and (self.key[1:] == self.key[:-1]).any():
-            raise ValueError("two grams share a hash")
+        self.hi, self.lo, self.values = hi, lo, values
+
+    def index(self) -> None:
+        """Fill the slots; they are not sent to tasks."""
+        size = 1 << max(4, (4 * len(self.hi)).bit_length())
+        self.mask, self.slot = np.uint64(size - 1), np.full(size, -1, np.int32)
+        key, left, step = _key(self.hi, self.lo), np.arange(len(self.hi), dtype=np.int32), 0
+        while len(left):
+            at = (key[left] + np.uint64(step)) & self.mask
+            free = self.slot[at] < 0
+            self.slot[at[free]] = left[free]
+            left, step = left[self.slot[at] != left], step + 1
 
     def find(self, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
         """The row of each gram, or -1."""
-        if not len(self.key):
-            return np.full(len(hi), -1)
-        at = np.minimum(np.searchsorted(self.key, _key(hi, lo)), len(self.key) - 1)
-        return np.where((self.hi[at] == hi) & (self.lo[at] == lo), at, -1)
+        out, key = np.full(len(hi), -1), _key(hi, lo)
+        left, step = np.arange(len(hi)), 0
+        while len(left):
+            row = self.slot[(key[left] + np.uint64(step)) & self.mask]
+            left, row = left[row >= 0], row[row >= 0]
+            hit = (self.hi[row] == hi[left]) & (self.lo[row] == lo[left])
+            out[left[hit]] = row[hit]
+            left, step = left[~hit], step + 1
+        return out
 
 
 def discounted(n):
@@ -127,6 +139,8 @@ class Model:
 
     def __init__(self, parts: dict, which: int):
         self.grams, self.contexts, self.which = parts["grams"], parts["contexts"], which
+        self.grams.index()
+        self.contexts.index()
         self.total, self.rest = parts["total"][which], parts["rest"][which]
         self.counts = {w: c for w, c in zip(parts["words"], parts["word_counts"][which].tolist(), strict=True) if max(c) > 1}
         self.pair_ids: dict[str, int] = {}
@@ -151,7 +165,7 @@ class Model:
         step[seen], base[seen] = self.grams.values[row[seen], self.which], self.grams.values[row[seen], 3]
         if not seen.all():
             at = self.contexts.find(*context(hi[~seen], lo[~seen]))
-            step[~seen] = np.where(at >= 0, self.contexts.values[at, self.which] if len(self.contexts.key) else 0.0, 0.0)
+            step[~seen] = np.where(at >= 0, self.contexts.values[at, self.which] if len(self.contexts.values) else 0.0, 0.0)
         ratio, shared = np.add.reduceat(step, begin), np.add.reduceat(base, begin)
         length = np.diff(np.append(begin, len(hi))).astype(float)
         for i in np.flatnonzero(length > LONG).tolist():
@@ -275,11 +289,11 @@ def gram_tables(counted: DataFrame, corpus: DataFrame) -> tuple[Table, Table]:
     rows = with_context.join(shared_backoff(corpus, counted), ["hi", "lo", *CELLS]).join(contexts, ["chi", "clo"])
     below = F.greatest("lower", F.lit(1e-12))
     smooth = lambda m, c: _smooth(_sum(PARTS[m][c]), F.col(f"t_{m}_{c}"), F.col(f"k_{m}_{c}"), below)
-    found = rows.select("hi", "lo", *(F.log(smooth(m, 1) / smooth(m, 0)).alias(f"r{m}") for m in range(3)), F.log(below).alias("below")).toArrow()
+    found = rows.select("hi", "lo", *(F.log(smooth(m, 1) / smooth(m, 0)).cast("float").alias(f"r{m}") for m in range(3)), F.log(below).cast("float").alias("below")).toArrow()
     part = lambda m, c: F.when(F.col(f"t_{m}_{c}") > 0, DISCOUNT * F.col(f"k_{m}_{c}") / F.col(f"t_{m}_{c}")).otherwise(1.0)
-    left = contexts.select(F.col("chi").alias("hi"), F.col("clo").alias("lo"), *(F.log(part(m, 1) / part(m, 0)).alias(f"r{m}") for m in range(3))).toArrow()
-    numbers = lambda t, names: np.stack([t[c].to_numpy() for c in names], 1) if len(t) else np.zeros((0, len(names)))
-    longs = lambda t: (t["hi"].to_numpy().astype(np.int64), t["lo"].to_numpy().astype(np.int64))
+    left = contexts.select(F.col("chi").alias("hi"), F.col("clo").alias("lo"), *(F.log(part(m, 1) / part(m, 0)).cast("float").alias(f"r{m}") for m in range(3))).toArrow()
+    numbers = lambda t, names: np.stack([t[c].to_numpy() for c in names], 1) if len(t) else np.zeros((0, len(names)), np.float32)
+    longs = lambda t: (t["hi"].to_numpy(), t["lo"].to_numpy())
     return Table(*longs(found), numbers(found, ["r0", "r1", "r2", "below"])), Table(*longs(left), numbers(left, ["r0", "r1", "r2"]))
 
 
@@ -395,6 +409,8 @@ def _scored(documents: DataFrame, labels: DataFrame, docs: DataFrame, sample_row
     by_gram, by_context = gram_tables(counted.where("said is null").drop("said"), corpus)
     model = spark.sparkContext.broadcast({"grams": by_gram, "contexts": by_context, **said_tables(counted.where("said is not null").drop("hi", "lo"))})
     release(corpus, counted)
+    del by_gram, by_context
+    give_back()
     x, y = [], []
     for half in (0, 1):  # each half by the model of the other
         got = rows.where(F.col("half") == half).mapInArrow(_features(model, 1 - half), "toxic int, f array<double>").toArrow()
