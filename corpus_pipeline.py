@@ -3,6 +3,12 @@
 Every stage works on all that its predecessor kept and, but for the last, returns the
 columns of ``documents``; each result is written as Parquet to the shared folder and
 read again as the next stage's documents. Part of the subpackage llm.
+
+All stages: null text counts as empty, texts are read whole however long, null or
+repeated ids and columns of any name come through, no documents give no rows. A row is
+judged by its own text, so of rows that share an id some may go. Ties: equal texts keep
+the largest doc_id (one row, if rows are equal too), near copies the smallest, a row
+without id last and first respectively; of several near copies without id one stays.
 """
 
 from __future__ import annotations
