@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 #: Arrow batches of texts: a few MB each, in the JVM and in Python, whatever the lengths.
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
-#: Stands for a null id inside an operator, so that joins on it need no null checks.
+#: Stands for a null id inside an operator, so that joins on it need no null checks. A real id of this value (the least
+#: long) counts as null there.
 NULL_ID = -(2**63)
 
 

@@ -9,8 +9,11 @@ to find the temperature that calibrates its probabilities.
 
 Words are runs of letters, of digits or of other signs, as written (upper case matters).
 Labels of at most ``sample_rows`` rows are used (those with the smallest hashed ids).
-Null or blank text pools to zeros; null labels or ids teach nothing. Without labels of
-both classes every score is the share of good labels (0 without any).
+Null or blank text pools to zeros; very long texts are pooled whole, in slices of about
+1 MiB of rows; documents that repeat are scored each; null labels or ids teach nothing, a
+document labelled twice counts twice. Extra columns are ignored; no documents give no
+rows. Without labels of both classes every score is the share of good labels (0 without
+any).
 """
 
 from __future__ import annotations
