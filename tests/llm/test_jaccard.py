@@ -132,3 +132,38 @@ def test_components(spark):
 def test_whole_table(spark, data):
     frame = spark.read.parquet(f"{data}/documents.parquet")
     assert rows(J.near_duplicates(frame)) == brute([(r.doc_id, r.text) for r in frame.collect()])
+
+
+def test_large_group_and_common_line(spark):
+    """Thousands of near copies, linked and not, and a line that many documents share, against all intersections."""
+    rng = random.Random(12)
+    say = lambda n: " ".join(f"w{rng.randrange(10**5)}" for _ in range(n))
+    base, line = say(150), say(30)
+    docs = [edited(rng, base, min(14, int(rng.expovariate(0.25)))) for _ in range(1800)]
+    docs += [line + " " + say(rng.randint(1, 60)) for _ in range(600)] + [line, base]
+    rng.shuffle(docs)
+    sets = [shingles(t) for t in docs]
+    seen = {}
+    for s in sets:
+        for g in s:
+            seen[g] = seen.get(g, 0) + 1
+    column = {g: i for i, g in enumerate(g for g, n in seen.items() if n > 1)}
+    m = np.zeros((len(docs), len(column)), np.float32)
+    for i, s in enumerate(sets):
+        m[i, [column[g] for g in s if g in column]] = 1
+    both, n = m @ m.T, np.array([len(s) for s in sets])
+    links = np.argwhere(100 * both >= 80 * (n[:, None] + n[None] - both))
+    root = list(range(len(docs)))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in links.tolist():
+        p, q = sorted((find(a), find(b)))
+        root[q] = p
+    want = {i: (int(n[i]), find(i)) for i in range(len(docs))}
+    assert 500 < max(list(map(find, range(len(docs)))).count(c) for c in set(map(find, range(len(docs))))) < 2000
+    assert rows(J.near_duplicates(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(4))) == want

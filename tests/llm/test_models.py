@@ -181,3 +181,42 @@ def test_word_vectors_against_a_loop():
     for b in quality._surroundings(iter([pa.RecordBatch.from_pydict({"text": [text]})])):
         got[b.column(0).to_numpy()] += np.stack([c.to_numpy() for c in b.columns[1:]], 1)
     assert np.array_equal(got, want)
+
+
+def test_quality_against_loops(spark):
+    """The whole query: vectors, pooling and scores word by word; the network itself learns from the same rows."""
+    rng = random.Random(6)
+    good = [" ".join(rng.choices(["the", "ship", "sails", "on", "Water", "12"], k=rng.randint(0, 30))) for _ in range(60)]
+    bad = [" ".join(rng.choices(["$$", "buy", "NOW", "!!", "12"], k=rng.randint(1, 30))) for _ in range(60)]
+    texts = [*good, *bad, "", " \n", "ship $$ ship"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i < 60)) for i in range(120)], "doc_id long, quality int")
+
+    def slots(text):
+        data = np.frombuffer(text.encode(), np.uint8)
+        return quality.tokens(data, np.array([0, len(data)]))[0].tolist() if text else []
+
+    index, vectors = quality.index_vectors(), np.zeros((quality.SLOTS, quality.WIDTH))
+    for s in map(slots, texts):
+        for i, a in enumerate(s):
+            for j in range(max(0, i - quality.NEAR), min(len(s), i + quality.NEAR + 1)):
+                if i != j:
+                    vectors[a] += index[s[j]]
+    vectors /= np.maximum(np.linalg.norm(vectors, axis=1), 1e-9)[:, None]
+    vectors = vectors.astype(np.float32).astype(float)
+
+    def pooled(text):
+        x = [vectors[a] for a in slots(text)]
+        if not x:
+            return np.zeros(3 * quality.WIDTH + 1)
+        beside = [a * b for a, b in zip(x[1:], x, strict=False)]
+        return np.concatenate([np.mean(x, 0), np.std(x, 0), np.sum(beside, 0) / max(1, len(x) - 1) if beside else np.zeros(quality.WIDTH), [math.log1p(len(x)) / 10]])
+
+    sample = [(r.id, r.quality) for r in toxicity.labelled_sample(labels, "quality", 1000).collect()]
+    x, y = np.array([pooled(texts[i]) for i, _ in sample]), np.array([q for _, q in sample], float)
+    order = np.lexsort((*x.T[:8], y))
+    network = quality.Network(x[order], y[order])
+    want = network.probability(np.array([pooled(t) for t in texts]))
+    got = {r.doc_id: (r.score, r.predicted) for r in quality.score_quality(docs, labels).collect()}
+    assert len(got) == len(texts)
+    assert all(got[i][0] == pytest.approx(p, abs=0.02) and got[i][1] == (got[i][0] >= 0.3) for i, p in enumerate(want))
